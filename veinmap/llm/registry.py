@@ -6,6 +6,9 @@ from importlib import import_module
 
 # query name -> module that defines a function of that name
 _QUERIES = {
+    "op3_byte_bpe": "byte_bpe",
+    "op4_packing": "packing",
+    "op9_token_files": "token_files",
     "op6_pii": "pii",
     "op8_quality_rules": "quality",
 }
