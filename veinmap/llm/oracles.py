@@ -33,3 +33,61 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_letters < 40 * word_chars) AS kept
 FROM b
 """
+
+# The escaped length adds one code point for each control string of the template.
+SQL["op10_chat"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+),
+s AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '</?turn')) + length('<turn role="' || role || '">') + 1 + 9 AS n FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+SQL["op5_warc_revisits"] = r"""
+WITH p AS (SELECT CAST(page_id AS BIGINT) AS p, url, md5(coalesce(html, '')) AS d FROM pages),
+rec AS (
+  SELECT p * 3 AS id, 'response' AS kind, url, p * 10 AS at, CASE WHEN p % 13 = 0 THEN 503 ELSE 200 END AS status,
+    '"' || d || '"' AS etag, 'text/html' AS ctype, 'day ' || (p % 28) AS dt, CASE WHEN p % 7 <> 0 THEN 'day ' || ((p + 1) % 28) END AS lm, 's1' AS server, d AS payload FROM p
+  UNION ALL
+  SELECT p * 3 + 1, 'revisit', url || '#again', p * 10 + 5, 304,
+    CASE WHEN p % 3 = 0 THEN 'W/"' || d || '"' WHEN p % 5 = 0 THEN '"stale"' ELSE '"' || d || '"' END, 'text/plain', 'day ' || ((p + 2) % 28), NULL, 's2', NULL FROM p
+  UNION ALL
+  SELECT p * 3 + 2, 'revisit', regexp_replace(url, '^http:', 'https:'), p * 10 + 1000003, 304,
+    NULL, NULL, 'day ' || ((p + 3) % 28), 'day ' || ((p + 1) % 28), 's3', NULL FROM p
+),
+b AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM rec),
+q AS (
+  SELECT *, list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+    lambda a: a <> '' AND string_split(a, '=')[1] NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'ref'))) AS args FROM b
+),
+c AS (
+  SELECT *, regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), ':(80|443)$', '') || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '')
+    || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS canonical FROM q
+),
+hit AS (
+  SELECT v.*, s.id AS sid, s.etag AS setag, s.ctype AS sctype, s.dt AS sdt, s.lm AS slm, s.server AS sserver, s.payload AS spayload,
+    row_number() OVER (PARTITION BY v.id ORDER BY s.at DESC, s.id DESC) AS rn
+  FROM c v LEFT JOIN c s ON s.kind = 'response' AND s.status = 200 AND s.canonical = v.canonical AND s.at < v.at
+  WHERE v.kind = 'revisit'
+),
+st AS (
+  SELECT *, CASE WHEN sid IS NULL THEN 'no_capture'
+    WHEN etag IS NOT NULL AND setag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(setag, '^W/', '') THEN 'resolved' ELSE 'mismatch' END
+    WHEN lm IS NOT NULL AND slm IS NOT NULL THEN CASE WHEN lm = slm THEN 'resolved' ELSE 'mismatch' END
+    ELSE 'unconfirmed' END AS res
+  FROM hit WHERE rn = 1
+)
+SELECT id AS record_id, canonical, CASE WHEN res = 'resolved' THEN sid END AS response_id, res AS status,
+  CASE WHEN res = 'resolved' THEN concat_ws(chr(10), 'content-type: ' || sctype, 'date: ' || dt, 'etag: ' || coalesce(etag, setag), 'last-modified: ' || slm, 'server: ' || sserver)
+    ELSE concat_ws(chr(10), 'content-type: ' || ctype, 'date: ' || dt, 'etag: ' || etag, 'last-modified: ' || lm, 'server: ' || server) END AS headers,
+  CASE WHEN res = 'resolved' THEN spayload END AS payload
+FROM st
+"""

@@ -6,6 +6,9 @@ from importlib import import_module
 
 # query name -> module that defines a function of that name
 _QUERIES = {
+    "op5_warc_revisits": "warc",
+    "op7_secrets": "secrets",
+    "op10_chat": "chat",
     "op3_byte_bpe": "byte_bpe",
     "op4_packing": "packing",
     "op9_token_files": "token_files",
