@@ -6,6 +6,7 @@ from importlib import import_module
 
 # query name -> module that defines a function of that name
 _QUERIES = {
+    "op2_near_texts": "near_texts",
     "op1_near_vectors": "near_vectors",
     "op5_warc_revisits": "warc",
     "op7_secrets": "secrets",
