@@ -2,7 +2,7 @@
 
 The ids of all documents (by ascending id, see ``ordered``) are cut into windows of at most ``limit``
 ids. Dynamic programming over the places where a cut is allowed (document ends, sentence ends, and a
-place every ``HARD_STEP`` ids in stretches without either) minimises padding plus a penalty per cut
+place every `HARD_STEP`` ids, or an eighth of the limit, in stretches without either) minimises padding plus a penalty per cut
 inside a document: f(j) = penalty(j) + limit - pos(j) + min(f(i) + pos(i)) over the i within
 ``limit`` of j, a sliding minimum that a monotone queue gives in constant time each. Long
 partitions run in blocks of ``BLOCK_IDS``: a block is cut at its best place near the end and the rest moves to
@@ -111,7 +111,7 @@ class _Buffer:
         ids, ends = np.concatenate(self.ids), np.concatenate(self.ends)
         lefts = np.array([d[2] for d in self.docs], np.int64)
         doc_ends = np.cumsum(lefts)
-        pos, cost = candidates(doc_ends, np.flatnonzero(ends) + 1, len(ids))
+        pos, cost = candidates(doc_ends, np.flatnonzero(ends) + 1, len(ids), max(1, min(HARD_STEP, limit // 8)))
         windows = cuts(pos, cost, limit, last)
         if last:
             start = windows[-2] if len(windows) > 1 else 0
