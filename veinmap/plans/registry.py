@@ -551,3 +551,8 @@ def snk3_flowcharts(spark, sf_dir):
 def snk6_a12_summary(spark, sf_dir):
     j = jobs.load_jobs(D.frame(spark, sf_dir, D.JOBS))
     return sinks.summary(j, _dag_nodes(spark, sf_dir), D.frame(spark, sf_dir, D.DAG))
+
+
+@_query(f"{_CTE}, e AS ({_EDGES}), o AS ({_OBJECTS}), n AS (SELECT source_node AS x FROM e UNION SELECT target_node FROM e UNION SELECT object_name FROM o) SELECT 'COMPLETED' AS status, (SELECT count(*) FROM j) AS rows_read, (SELECT count(*) FROM b) AS rows_active, (SELECT count(*) FROM j WHERE NOT active) AS rows_disabled, (SELECT count(*) FROM b WHERE k % 7 = 0) AS sql_parsed, (SELECT count(*) FROM b WHERE kind = 35) AS sql_fallback, CAST(0 AS BIGINT) AS views_captured, (SELECT count(*) FROM n) AS node_count, (SELECT count(*) FROM e) AS edge_count")
+def rp1_a12_run_counters(spark, sf_dir):
+    return _run(spark, sf_dir, save_ast=False).run_row().drop("run_id", "run_label", "message", "started_at", "finished_at")
