@@ -30,13 +30,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = near_texts(docs)
     alone = F.col("node").isNull()
     groups = found.filter(~alone).groupBy("component_id").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
-    kept = groups.select(F.col("first.doc_id").alias("doc_id"), F.col("first.tie").alias("tie"), F.lit(False).alias("_alone"))
-    kept = kept.unionByName(found.filter(alone).select("doc_id", "tie", F.lit(True).alias("_alone")).distinct())
-    key = [F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("tie").alias("_tie"), "_alone"]
-    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_tie", tie_of(F.col("text")))
-    rows = rows.join(kept.select(*key), ["_id", "_tie"])
-    nth = F.row_number().over(Window.partitionBy("_id", "_tie").orderBy("_tie"))
-    return rows.withColumn("_nth", nth).filter("_alone or _nth = 1").select(*[docs[c] for c in docs.columns])
+    kept = groups.select(F.col("first.doc_id").alias("doc_id"), F.col("first.tie").alias("tie"), F.lit(False).alias("__row_alone"))
+    kept = kept.unionByName(found.filter(alone).select("doc_id", "tie", F.lit(True).alias("__row_alone")).distinct())
+    key = [F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__row_id"), F.col("tie").alias("__row_tie"), "__row_alone"]
+    rows = docs.withColumn("__row_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("__row_tie", tie_of(F.col("text")))
+    rows = rows.join(kept.select(*key), ["__row_id", "__row_tie"])
+    nth = F.row_number().over(Window.partitionBy("__row_id", "__row_tie").orderBy("__row_tie"))
+    return rows.withColumn("__row_nth", nth).filter("__row_alone or __row_nth = 1").select(*[docs[c] for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
