@@ -7,6 +7,8 @@ are found by trimming and colouring, in joins only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,13 +167,16 @@ def levels(edges: DataFrame, roots: DataFrame, limit: int = 10_000) -> DataFrame
     of = stable(roots)
     e = edges.join(of.select(F.col("node").alias("src"), F.col("root").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("root").alias("b")), "dst").filter("a <> b").select("a", "b").distinct()
     e = stable(e)
-    level = of.select("root").distinct().withColumn("dag_level", F.lit(0))
+    # a component's level is the last step at which a walk from the starts arrives at it
+    parts, step = [of.select("root").distinct().withColumn("dag_level", F.lit(0))], 0
     fresh = stable(e.select(F.col("b").alias("root")).distinct())
-    step = 0
     while not fresh.isEmpty() and step < limit:
         step += 1
-        level = stable(level.join(fresh.withColumn("up", F.lit(step)), "root", "left").select("root", F.coalesce("up", "dag_level").alias("dag_level")))
+        parts.append(fresh.withColumn("dag_level", F.lit(step)))
         fresh = stable(e.join(fresh.withColumnRenamed("root", "a"), "a", "left_semi").select(F.col("b").alias("root")).distinct())
+        if len(parts) == 32:
+            parts = [stable(reduce(DataFrame.unionByName, parts).groupBy("root").agg(F.max("dag_level").alias("dag_level")))]
+    level = reduce(DataFrame.unionByName, parts).groupBy("root").agg(F.max("dag_level").alias("dag_level"))
     sizes = of.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     return of.join(level, "root").join(sizes, "root").select("node", "root", "dag_level", F.when(F.col("size") > 1, "Y").otherwise("N").alias("in_cycle"))
 
