@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -51,7 +52,20 @@ def kept_table(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     at = fresh_path(spark, what)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.kept_at = at
+    return out
+
+
+def drop_kept(df: DataFrame) -> None:
+    """Remove a table that ``kept_table`` wrote and nothing reads any more."""
+    drop_path(df.sparkSession, df.kept_at)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that are done: they go when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

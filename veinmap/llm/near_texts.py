@@ -11,9 +11,11 @@ Exact, by universe partition and pigeonhole:
 * A set with more than E empty segments can't leave them all out in this way. Two such partners may agree in empty
   segments only; then another segment differs by one element at most, so these sets also index each subset
   with one element deleted (and, if even that doesn't reach H + 1, their single elements).
-* Buckets name candidates. Each bucket's members are verified against a pivot (two rounds with different
-  pivots), which joins most of a group of copies with as many checks as members; then every pair of members that is
-  still in different components and hasn't been verified is. No bucket is cut and no candidate is dropped.
+* Buckets name candidates. Each bucket's members are compared with a pivot, the member with most bucket mates,
+  which joins most of a group of copies with as many checks as members. What is left are pairs of members in
+  different components: a task per bucket (large ones are dealt out in pairs of blocks) goes through them. Either way
+  pairs first meet a test by sketches, whose distance is a lower bound of the sets' difference; only pairs
+  within the bound go on. No bucket is cut and no candidate is dropped.
 * Verification intersects the sets of 64-bit hashes.
 
 Nothing grows with a group of equal texts but its rows, and bucket joins are plain equi-joins, whose hot keys
@@ -35,15 +37,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_table, shuffle_parts
+from .common import drop_kept, free_shuffles, kept_table, shuffle_parts
 from .components import components, sorted_groups
 from .shingles import mix, shingle_sets
 from .word_ids import slices
 
 PERCENT = 80
 SLACK = 0.2
-ROUNDS = 2
+ROUNDS = 1
 KEY_BITS = 48
+BLOCK = 2048
 
 
 @lru_cache(8)
@@ -195,7 +198,11 @@ def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def buckets_of(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, short id, own) of buckets with two members or more, one of them in its own band; of buckets with the same members one stays."""
+    """(bucket, short id, own) of buckets with two members or more, one of them in its own band.
+
+    A bucket's number is a hash of its members, so that those with the same members become one, here and wherever else they
+    come up (should two hashes be equal, the larger bucket holds more candidates, none fewer).
+    """
     bucket = key >> np.uint64(1)
     order = np.argsort(bucket)
     b = bucket[order]
@@ -218,7 +225,7 @@ def buckets_of(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first = np.zeros(len(starts), bool)
     first[np.unique(content, return_index=True)[1]] = True
     keep = np.repeat(good & first, members)
-    return b[keep], w[keep], own[keep]
+    return np.repeat(mix(content), members)[keep], w[keep], own[keep]
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
@@ -226,24 +233,114 @@ def _buckets(signed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in sorted_groups(batches, ["part"]):
-            part = g.column("part")[0].as_py()
             b, w, own = buckets_of(*_unpacked(g))
-            b = (b | np.uint64(part << (KEY_BITS - 1))).astype(np.int64)
+            b = b.view(np.int64)
             for a in range(0, len(b), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(b[a : a + 50_000]), pa.array(w[a : a + 50_000]), pa.array(own[a : a + 50_000])], ["bucket", "short", "own"])
 
-    return signed.repartition("part").sortWithinPartitions("part").mapInArrow(run, "bucket long, short long, own boolean")
+    return signed.repartition("part").sortWithinPartitions("part").mapInArrow(run, "bucket long, short long, own boolean").distinct()
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of hashes in 2^k bins (their lower bits), one to two bins a hash.
+
+    Each bin in which two sketches differ holds at least one hash that only one of the sets has, so the number of
+    these bins never exceeds the sets' difference, and comes close to it.
+    """
+    bits = min(15, max(6, len(s).bit_length()))
+    return np.packbits((np.bincount((s & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) & 1).astype(np.uint8), bitorder="little")
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of different widths as rows of 64-bit words of the least width: bins that fall together add up."""
+    words = min(len(x) for x in sketches) // 8
+    return np.array([np.bitwise_xor.reduce(np.frombuffer(x, "<u8").reshape(-1, words), axis=0) for x in sketches])
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lower bound of the differences of the sets in the rows of x and y."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
 
 
 def _with_sets(rows: DataFrame) -> DataFrame:
-    """(node, set) of rows (node, text)."""
+    """(node, set, sketch) of rows (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"))], pa.binary())], ["node", "set"])
+                sets = shingle_sets(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], ["node", "set", "sketch"])
+
+    return rows.mapInArrow(run, "node binary, set binary, sketch binary")
+
+
+def crossing(root: np.ndarray, n: np.ndarray, own: np.ndarray, side: np.ndarray, sketches: list[bytes], one_block: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs in different components (``root``: small numbers) that may be similar, by size and sketch."""
+    h = folded(sketches)
+    most = np.bincount(root).argmax()
+    rest = np.flatnonzero(root != most)
+    out_a, out_b = [], []
+    step = max(1, (1 << 20) // len(root))
+    for k in range(0, len(rest), step):
+        i = rest[k : k + step]
+        ok = (root[i][:, None] != root[None]) & (own[i][:, None] | own[None]) & (100 * np.minimum(n[i][:, None], n[None]) >= percent * np.maximum(n[i][:, None], n[None]))
+        # a pair of two of the rest comes up from either end; one is enough
+        ok &= (root[None] == most) | (i[:, None] < np.arange(len(root))[None])
+        if not one_block:
+            ok &= side[i][:, None] != side[None]
+        a, b = np.nonzero(ok)
+        for t in range(0, len(a), 1 << 15):
+            x, y = i[a[t : t + (1 << 15)]], b[t : t + (1 << 15)]
+            near = apart(h[x], h[y]) * (100 + percent) <= (100 - percent) * (n[x] + n[y])
+            out_a.append(x[near])
+            out_b.append(y[near])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(out_a) if out_a else none), (np.concatenate(out_b) if out_b else none)
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, na, b, nb) that size and sketch don't rule out: small rows, before sets are moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            far = [int(apart(*(r[None] for r in folded([x, y])))[0]) for x, y in zip(batch.column("ka").to_pylist(), batch.column("kb").to_pylist(), strict=True)]
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(np.array(far) * (100 + percent) <= (100 - percent) * n))
 
-    return rows.mapInArrow(run, "node binary, set binary")
+    left, right = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("ka")), sketches.select(F.col("node").alias("b"), F.col("sketch").alias("kb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a binary, b binary")
+
+
+def _crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) candidates of rows (bucket, node, n, own, root, sketch) in live buckets."""
+    large = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > BLOCK).select("bucket", F.ceil(F.col("rows") / BLOCK).cast("int").alias("nb"))
+    d = members.join(large, "bucket", "left").withColumn("side", F.when(F.col("nb").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("nb") - 1, F.lit(0))))).withColumn("bi", F.least("side", "other")).withColumn("bj", F.greatest("side", "other"))
+    keys = ["bucket", "bi", "bj"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said: set[tuple[bytes, bytes]] = set()
+        for g in sorted_groups(batches, keys):
+            if g.num_rows < 2:
+                continue
+            node = g.column("node").to_pylist()
+            one = g.column("bi")[0].as_py() == g.column("bj")[0].as_py()
+            names: dict[bytes, int] = {}
+            root = np.array([names.setdefault(x, len(names)) for x in g.column("root").to_pylist()])
+            a, b = crossing(root, g.column("n").to_numpy(), g.column("own").to_numpy(zero_copy_only=False), g.column("side").to_numpy(), g.column("sketch").to_pylist(), one, percent)
+            new = {(min(node[x], node[y]), max(node[x], node[y])) for x, y in zip(a.tolist(), b.tolist(), strict=True)} - said
+            if not new:
+                continue
+            if len(said) > 200_000:
+                said.clear()
+            said |= new
+            x, y = zip(*new, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["a", "b"])
+
+    d = d.select(*keys, "side", "node", "n", "own", "root", "sketch")
+    return d.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -272,22 +369,29 @@ def near_texts(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", tex
     nodes = every.filter("node is not null").groupBy("node").agg(rep, F.first("n").alias("n"))
     members = kept_table(_member_rows(_buckets(_signed(docs, text, _parts(spark), percent)), nodes), "buckets")
     wanted = members.groupBy("node").agg(F.first("rep").alias("rep")).select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.tie").alias("tie"))
+    free_shuffles(spark)
     texts = _rows(docs, key, text).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(wanted.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))), ["doc_id", "tie"])
     sets = kept_table(_with_sets(texts.select("node", "text")), "candidates").dropDuplicates(["node"])
-    members = members.select("bucket", "node", "n", "own")
+    mates = members.groupBy("node").agg(F.count(F.lit(1)).alias("mates"))
+    free_shuffles(spark)
+    full = kept_table(members.select("bucket", "node", "n", "own").join(mates, "node"), "members")
+    drop_kept(members)
+    members = full
     tested = links = root = None
     for r in range(rounds + 1):
         m = members.withColumn("root", F.col("node")) if root is None else members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        live = m.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.when(F.col("own"), F.struct(F.xxhash64("node", F.lit(r)).alias("o"), "node", "n", "root"))).alias("pivot")).filter("lo <> hi")
+        # the first pivots have most bucket mates; later ones are others
+        order = F.struct((-F.col("mates") if r == 0 else F.xxhash64("node", F.lit(r))).alias("o"), "node", "n", "root")
+        live = m.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.when(F.col("own"), order)).alias("pivot")).filter("lo <> hi")
         if r < rounds:
             m = m.join(live.select("bucket", "pivot"), "bucket").select("node", "n", "root", F.col("pivot.node").alias("pnode"), F.col("pivot.n").alias("pn"), F.col("pivot.root").alias("proot"))
+            near = (F.col("root") != F.col("proot")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
+            first = F.col("node") < F.col("pnode")
+            ends = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("node", "pnode", "a"), ("n", "pn", "na"), ("pnode", "node", "b"), ("pn", "n", "nb"))]
+            pairs = _plausible(m.filter(near).select(*ends).distinct(), sets, percent)
         else:
-            m = m.join(live.select("bucket"), "bucket", "left_semi")
-            p = m.select("bucket", F.col("node").alias("pnode"), F.col("n").alias("pn"), F.col("root").alias("proot"), F.col("own").alias("pown"))
-            m = m.join(p, "bucket").filter((F.col("own") | F.col("pown")) & (F.col("node") < F.col("pnode")))
-        near = F.col("root") != F.col("proot")
-        near &= 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
-        pairs = m.filter(near).select(F.least("node", "pnode").alias("a"), F.greatest("node", "pnode").alias("b")).distinct()
+            m = kept_table(m.join(live.select("bucket"), "bucket", "left_semi").select("bucket", "node", "n", "own", "root"), "live")
+            pairs = _crossing_pairs(m.join(sets.select("node", "sketch"), "node"), percent).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = kept_table(pairs, "pairs")

@@ -104,10 +104,10 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
         if b - a >= SHINGLE:
             out.append(np.unique(s[a : b - SHINGLE + 1]))
         elif b > a:
-            v = np.uint64(b - a)
+            v = np.array([b - a], np.uint64)
             for x in h[a:b]:
-                v = mix(np.array([v * k + x], np.uint64))[0]
-            out.append(np.array([v], np.uint64))
+                v = mix(v * k + x)
+            out.append(v)
         else:
             out.append(empty)
     return out
