@@ -215,3 +215,10 @@ def test_following_changes(spark, tmp_path):
     q = follow(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "cp"), lambda r: seen.append([tuple(x) for x in r.edges.select("source_node", "target_node").collect()]), owner="ME")
     q.awaitTermination()
     assert q.exception() is None and seen == [[("A", "B2")]]
+
+
+def test_execution_order_with_other_columns(spark):
+    rng = random.Random(8)
+    rows = [(k, "G", f"T{k}", "S" * rng.randrange(50)) for k in rng.sample(range(100_000), 3000)]
+    got = {r.job_num: r.exec_seq for r in jobs.load_jobs(jobs_frame(spark, rows)).select("exec_seq", "job_num", "is_active").collect()}
+    assert got == {k: n for n, k in enumerate(sorted(r[0] for r in rows), 1)}
