@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Characters of text that are encoded at once, and chunks kept by a worker.
-SLICE_CHARS = 4_000_000
-CACHE_CHUNKS = 1_000_000
+#: Characters of text that are encoded at once, and chunks kept by a worker (two generations of half as many).
+SLICE_CHARS = 2_000_000
+CACHE_CHUNKS = 500_000
 
 _SENTENCE_END = re.compile(r"[.!?]['\")\]]*$")
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -61,13 +61,18 @@ class ChunkEncoder:
         self.lowers = "</w>" in (self.tokenizer.model.end_of_word_suffix or "") and all([t.id for t in self.tokenizer.model.tokenize(w)] == self.tokenizer.encode(w.upper(), add_special_tokens=False).ids for w in ("the", "unbelievable", "zqxj"))
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, tuple[bytes, bool]] = {}
+        self.older: dict[str, tuple[bytes, bool]] = {}
 
     def _learn(self, chunks: list[str]) -> list[tuple[bytes, bool]]:
         """Ids as bytes of each chunk, and whether a sentence ends with it."""
+        if len(self.known) > CACHE_CHUNKS // 2:
+            self.known, self.older = {}, self.known
         got = [self.known.get(c) for c in chunks]
+        if self.older:
+            for i, c in enumerate(chunks):
+                if got[i] is None and (x := self.older.get(c)) is not None:
+                    got[i] = self.known[c] = x
         new = [i for i, x in enumerate(got) if x is None]
-        if len(self.known) + len(new) > CACHE_CHUNKS:
-            self.known.clear()
         # lower-case ASCII letters are one word that normalising doesn't change: the merges alone remain
         plain = [i for i in new if chunks[i].isascii() and chunks[i].isalpha()]
         merge = self.tokenizer.model.tokenize
