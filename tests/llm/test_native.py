@@ -92,6 +92,23 @@ def test_pii_added_kinds(spark):
     assert got == {0: ([(13, 40)], []), 1: ([], []), 2: ([], [(10, 21)]), 3: ([], []), 4: ([], [])}
 
 
+def test_iban_ends_whatever_follows(spark):
+    de, spaced, gb = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    after = ["", " The bank", " Bank: X", " I paid", " BIC ABC", " BIC COBADEFF", " 2024", " 2024-01-01", ".", ", A1", " X"]
+    cases = [(f"iban {x}{y}", [(5, 5 + len(x))]) for x in (de, spaced) for y in after]
+    cases += [(f"{de} {gb}", [(0, 22), (23, 45)]), (f"SE12 {spaced} 1", [(5, 32)]), (f"AB12 {spaced} 1", [(5, 32)]), ("AO06 0044 0000 6729 5030 1010 2 The END", [(0, 31)])]
+    cases += [(f"{de}X", []), (f"X{de}", []), (de[:-1], []), ("DE88 3704 0044 0532 0130 00 The bank", [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in P.find_pii(df).collect():
+        assert [(x.start, x.end) for x in r.iban] == cases[r.doc_id][1], cases[r.doc_id]
+    kind = [k for k in P.KINDS if k.name == "iban"]
+    for i, r in enumerate(sorted(P.redact(df, kinds=kind).collect())):
+        t, found = cases[i]
+        for a, b in reversed(found):
+            t = t[:a] + "[IBAN]" + t[b:]
+        assert r.text == t
+
+
 def test_pii_scores_follow_context(spark):
     df = spark.createDataFrame([(0, "visa card 4111111111111111"), (1, "number 4111111111111111")], "doc_id long, text string")
     got = {r.doc_id: r.card[0].score for r in P.find_pii(df).collect()}

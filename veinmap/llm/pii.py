@@ -7,7 +7,9 @@ repeats and look-behinds, so that no run of characters is scanned from each of i
 matcher doesn't recurse; they match what the plain patterns of the base kinds match.
 
 Kinds: ``email ip card phone`` (base, kept whatever their score) and ``iban`` (mod-97) and ``ssn``
-(needs a context word), which are kept from a score of ``MIN_SCORE`` on.
+(needs a context word), which are kept from a score of ``MIN_SCORE`` on. An ``iban`` is proposed at every
+start, with the length of its country, or, where the country is in no register, with each end before a
+character that isn't a letter or digit (the longest that passes mod-97 counts); what follows never changes it.
 
 Defined results: null and empty texts have no spans; texts of any length are searched whole; rows
 are judged one by one, so ties, repeated rows and empty tables need no rule; extra columns
@@ -54,6 +56,25 @@ def mod97(code: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), step)
 
 
+# Lengths of account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_REGISTERED = "|".join(c for cs in IBAN_LENGTHS.values() for c in cs.split())
+_IBAN = "|".join([f"(?:{cs.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, cs in IBAN_LENGTHS.items()] + [f"(?!{_REGISTERED})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}"])
+
+
+def iban_length(m: Column) -> Column:
+    """Characters of the account number that a proposal starts with, 0 if none passes mod-97."""
+    plain = lambda n: F.replace(F.substring(m, F.lit(1), n), F.lit(" "), F.lit(""))
+    before_gap = F.filter(F.sequence(F.length(m), F.lit(15), F.lit(-1)), lambda n: ~F.substring(m, n + 1, F.lit(1)).rlike("[A-Z0-9]") & (F.length(plain(n)) >= 15))
+    ends = F.when(m.rlike(f"^(?:{_REGISTERED})"), F.array(F.length(m))).otherwise(before_gap)
+    return F.coalesce(F.get(F.filter(ends, lambda n: mod97(plain(n)) == 1), F.lit(0)), F.lit(0))
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -68,6 +89,10 @@ class Kind:
     context: str
     #: A literal that every match holds, to leave most texts out cheaply.
     needs: str | None = None
+    #: Characters that a match takes when its text is group 1 of a look-ahead, so that proposals may overlap.
+    takes: int | None = None
+    #: Length of the confirmed part of a match from its start, 0 for none.
+    extent: Callable[[Column], Column] | None = None
 
 
 KINDS = [
@@ -75,7 +100,7 @@ KINDS = [
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: m.rlike(_IP), True, 0.6, r"\bip\b|host|server|address|adresse|login"),
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])", lambda m: luhn(_digits(m)), True, 0.8, "card|visa|master|amex|credit|karte|tarjeta|carte"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), True, 0.6, "phone|call|tel|mobile|fax|ruf|llam|appel", "+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", lambda m: mod97(F.replace(m, F.lit(" "), F.lit(""))) == 1, False, 0.7, "iban|account|bank|konto|cuenta|compte"),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=({_IBAN})(?![A-Za-z0-9]))[A-Z0-9]{{4}}", None, False, 0.7, "iban|account|bank|konto|cuenta|compte", takes=4, extent=iban_length),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", None, False, 0.2, "ssn|social security|sozialversicherung|seguridad social"),
 ]
 
@@ -96,7 +121,7 @@ _SPAN = "array<struct<m:string,start:bigint,end:bigint>>"
 
 
 def _matches(t: Column, kind: Kind) -> Column:
-    found = F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0))
+    found = F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0 if kind.takes is None else 1))
     return F.when(F.contains(t, F.lit(kind.needs)), found).otherwise(F.array().cast("array<string>")) if kind.needs else found
 
 
@@ -105,7 +130,7 @@ def proposals(t: Column, kind: Kind) -> Column:
 
     def placed(ms: Column) -> Column:
         pieces = F.transform(F.split(t, kind.pattern, -1), lambda p: F.length(p).cast("bigint"))
-        sizes = F.transform(ms, lambda m: F.length(m).cast("bigint"))
+        sizes = F.transform(ms, lambda m: (F.length(m) if kind.takes is None else F.lit(kind.takes)).cast("bigint"))
 
         def at(x: Column) -> Column:
             return let(x["before"], lambda b: F.transform(ms, lambda m, i: F.struct(m.alias("m"), (F.get(b, i) + F.get(x["pieces"], i)).alias("start"), (F.get(b, i) + F.get(x["pieces"], i) + F.length(m)).alias("end"))))
@@ -115,11 +140,21 @@ def proposals(t: Column, kind: Kind) -> Column:
     return let(_matches(t, kind), lambda ms: F.when(F.size(ms) > 0, placed(ms).cast(_SPAN)).otherwise(F.array().cast(_SPAN)))
 
 
+def _apart(found: Column) -> Column:
+    """The spans, by start, without those that start inside an earlier one that stays."""
+    clash = F.exists(F.transform(found, lambda x, i: x["start"] < F.coalesce(F.get(found, i - 1)["end"], F.lit(0))), lambda c: c)
+    last = lambda kept: F.coalesce(F.get(kept, F.size(kept) - 1)["end"], F.lit(0))
+    return F.when(clash, F.aggregate(found, F.array().cast(_SPAN), lambda kept, x: F.when(x["start"] >= last(kept), F.array_append(kept, x)).otherwise(kept))).otherwise(found)
+
+
 def spans(t: Column, kind: Kind) -> Column:
     """array<struct<start,end,score>> of the confirmed spans of one kind, by start."""
     found = proposals(t, kind)
     if kind.valid is not None:
         found = F.filter(found, lambda x: kind.valid(x["m"]))
+    if kind.extent is not None:
+        sized = F.transform(found, lambda x: let(kind.extent(x["m"]), lambda n: F.struct(F.substring(x["m"], F.lit(1), n).alias("m"), x["start"].alias("start"), (x["start"] + n).alias("end"))))
+        found = let(F.filter(sized, lambda x: x["end"] > x["start"]).cast(_SPAN), _apart)
 
     def scored(x: Column) -> Column:
         since = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
@@ -169,11 +204,12 @@ def _redacted(t: Column, kind: Kind) -> Column:
             lambda ms: F.when(F.size(ms) == 0, t).otherwise(F.array_join(F.zip_with(F.split(t, kind.pattern, -1), F.transform(ms, ok), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")),
         )
 
-    def judged(found: Column) -> Column:
-        good = F.transform(spans(t, kind), lambda x: x["start"])
-        return let(good, lambda g: F.array_join(F.zip_with(F.split(t, kind.pattern, -1), F.transform(found, lambda x: F.when(F.array_contains(g, x["start"]), mark).otherwise(x["m"])), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), ""))
+    def judged(good: Column) -> Column:
+        since = lambda i: F.coalesce(F.get(good, i - 1)["end"], F.lit(0))
+        cut = lambda a, b: F.substring(t, (a + 1).cast("int"), (b - a).cast("int"))
+        return F.concat(F.array_join(F.transform(good, lambda x, i: F.concat(cut(since(i), x["start"]), mark)), ""), cut(since(F.size(good)), F.length(t)))
 
-    return let(proposals(t, kind), lambda found: F.when(F.size(found) == 0, t).otherwise(judged(found)))
+    return let(spans(t, kind), lambda good: F.when(F.size(good) == 0, t).otherwise(judged(good)))
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:
