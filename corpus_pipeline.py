@@ -24,12 +24,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id (then the smallest text hash).
 
-    Rows are told apart by id and text hash; of rows equal in both, one stays. Documents without words aren't
+    Groups go by the component's root, since several may share their smallest id or have none. Rows are told
+    apart by id and text hash; of rows equal in both, one stays. Documents without words aren't
     duplicates of anything and stay.
     """
     found = near_texts(docs)
     alone = F.col("node").isNull()
-    groups = found.filter(~alone).groupBy("component_id").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
+    groups = found.filter(~alone).groupBy("root").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
     kept = groups.select(F.col("first.doc_id").alias("doc_id"), F.col("first.tie").alias("tie"), F.lit(False).alias("__row_alone"))
     kept = kept.unionByName(found.filter(alone).select("doc_id", "tie", F.lit(True).alias("__row_alone")).distinct())
     key = [F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__row_id"), F.col("tie").alias("__row_tie"), "__row_alone"]

@@ -79,3 +79,10 @@ def test_odd_documents(spark, odd_docs):
         docs.count()
     wordless = P.near_duplicates(spark, odd_docs, "")
     assert Counter(r.doc_id for r in wordless.collect()) == Counter([1, 3, 4, 5, 6, 7, 8, None, 9, -5])
+
+
+def test_groups_without_a_smallest_id_of_their_own(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (1, text("c")), (1, text("d")), (2, text("d")), (3, text("e"))]
+    got = P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert Counter(tuple(r) for r in got.collect()) == Counter([(None, text("a")), (None, text("b")), (1, text("c")), (1, text("d")), (3, text("e"))])

@@ -362,7 +362,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_texts(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """One row per document: doc_id, tie, n_shingles, node (its class of equal sets) and component_id."""
+    """One row per document: doc_id, tie, n_shingles, node (its class of equal sets), component_id and root.
+
+    ``component_id`` is the smallest id, which is null or shared where ids are; ``root`` is a node of the component and names it alone.
+    """
     spark = docs.sparkSession
     every = kept_table(_sets(docs, key, text), "sets")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("rep")
@@ -401,9 +404,9 @@ def near_texts(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", tex
         root = components(links)
     of = nodes.select("node", F.col("rep.doc_id").alias("least")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = of.join(least, "root").select("node", "component_id")
+    of = of.join(least, "root").select("node", "component_id", "root")
     out = every.join(of, "node", "left")
-    return out.select("doc_id", "tie", F.col("n").alias("n_shingles"), "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "tie", F.col("n").alias("n_shingles"), "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
 
 
 def _parts(spark) -> int:
