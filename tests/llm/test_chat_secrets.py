@@ -90,6 +90,27 @@ def test_random_strings_are_found_and_text_is_not():
     assert not any(S.scan(t) for t in quiet)
 
 
+def test_parts_of_opaque_runs_are_tested():
+    rng = random.Random(6)
+    b64 = S.ENCODINGS[4][1]
+
+    def found(head, secret, tail=""):
+        return ("entropy", len(head), len(head) + len(secret)) in S.scan(head + secret + tail)
+
+    secret = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    assert found("AWS_SECRET_ACCESS_KEY=", secret) and found("https://x.org/a?sig=", secret, "&b=1") and found("a=b=", secret, "=c")
+    for head, tail in [("some_key-name=", ""), ("user_name/", ""), ("some_long_name_of_a_folder/", ""), ("", "_v"), ("KEY=", "==")]:
+        hit = 0
+        for _ in range(200):
+            word = "".join(rng.choice(b64[:62]) for _ in range(40))
+            hit += any(k == "entropy" and a < len(head) + 40 and b > len(head) for k, a, b in S.scan(head + word + tail))
+        assert hit > 185, (head, tail, hit)
+    letters = sum(bool(S.scan("x " + "".join(rng.choice(b64[:52]) for _ in range(32)) + " y")) for _ in range(200))
+    assert letters > 180 and S.parts("1" * 30) == [(0, 30, S.ENCODINGS[0][1])]
+    quiet = ["INTERNATIONALIZATIONOFSTANDARDS", "AWS_SECRET_ACCESS_KEY_OF_THE_USER=", "UNCHARACTERISTICALLY", "-" * 60, "=" * 60, "_" * 30 + "/" * 30, "a/b_c-d+e/" * 8, "docs/2020-05-01/some_long-title/of-the_article+final", "1" * 30, "name_of_the_first=name_of_the_second/other-name_here"]
+    assert not [t for t in quiet if S.scan(t)]
+
+
 def test_battery_is_calibrated():
     rng = random.Random(4)
     alphabet = S.ENCODINGS[1][1]

@@ -1,14 +1,15 @@
 """Secrets in texts: three fixed patterns, and a randomness battery for opaque strings.
 
 Base kinds ``assign access hex`` come from patterns (matches that fail their length test are dropped). The
-battery looks at every other opaque run of ``MIN_RUN`` characters or more: it infers the
+battery looks at every other opaque run of ``MIN_RUN`` characters or more, split at inner ``=`` (names
+and values) and, where no encoding holds a part, at ``+ /`` and at ``- _`` in turn: it infers the
 encoding (decimal, hex, base32, base64), maps the characters to symbols and takes three statistics against
 a uniform source: chi-squared over the alphabet, a runs test about the median, and lag-one serial
 correlation. Not failing them is weak evidence for a short string, so the evidence against
 "ordinary text" is a likelihood ratio: uniform symbols against a first-order model of
-words and identifiers, whose p-value is at most 1 / ratio, and shrinks with the length. Per
+words and identifiers (runs in capitals are read as small letters too, and the more ordinary reading counts), whose p-value is at most 1 / ratio, and shrinks with the length. Per
 document the p-values of all candidates go through the Benjamini-Hochberg rule at ``RATE``; those
-that pass it and the battery become spans of the kind ``entropy``.
+that pass it and the battery become spans of the kind ``entropy``; of two that overlap, the one of more evidence.
 
 Defined results: null and empty texts have no spans; texts are searched whole; every row is judged by
 itself (ties, repeats, empty tables and extra columns change nothing).
@@ -97,6 +98,22 @@ def infer(run: str) -> tuple[str, str] | None:
     return next(((n, a) for n, a in ENCODINGS if body <= set(a)), None)
 
 
+def parts(run: str) -> list[tuple[int, int, str]]:
+    """(start, end, alphabet) of the parts of an opaque run that the battery judges; ``=`` at its end is padding."""
+    out = []
+    for m in re.finditer("[^=]+", run):
+        a, b = m.span()
+        enc = infer(m.group())
+        if enc is not None:
+            cuts = [(a, b, enc[1])]
+        else:
+            odd = [(a + c.start(), a + c.end(), c.group()) for p in ("[^_-]+", "[^+/]+") for c in re.finditer(p, m.group())]
+            cuts = [(x, y, infer(t)[1]) for x, y, t in dict.fromkeys(odd)]
+        out += [(x, y, al) for x, y, al in cuts if y - x >= MIN_RUN]
+    end = len(run.rstrip("="))
+    return [(x, len(run) if y == end else y, al) for x, y, al in out]
+
+
 def _normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -128,10 +145,15 @@ def battery(run: str, alphabet: str) -> tuple[float, float, float]:
 
 def log_ratio(run: str, alphabet: str) -> float:
     """Log-likelihood of uniform symbols over that of ordinary text."""
-    codes = np.frombuffer(run.rstrip("=").encode("ascii"), np.uint8)
+    body = run.rstrip("=")
+    ordinary = max(_ordinary(x) for x in ({body, body.lower()} if body.isupper() else {body}))
+    return -len(body) * math.log(len(alphabet)) - ordinary
+
+
+def _ordinary(body: str) -> float:
+    codes = np.frombuffer(body.encode("ascii"), np.uint8)
     cls = _CLASS[codes]
-    ordinary = float(_WITHIN[codes].sum() + FOLLOWS[cls[:-1], cls[1:]].sum()) - math.log(len(FOLLOWS))
-    return -len(codes) * math.log(len(alphabet)) - ordinary
+    return float(_WITHIN[codes].sum() + FOLLOWS[cls[:-1], cls[1:]].sum()) - math.log(len(FOLLOWS))
 
 
 def false_discovery(logp: list[float], rate: float = RATE, tests: int | None = None) -> list[bool]:
@@ -143,6 +165,16 @@ def false_discovery(logp: list[float], rate: float = RATE, tests: int | None = N
     return [i in keep for i in range(len(logp))]
 
 
+def _strongest(passed: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
+    """Spans (log p, start, end) in order of evidence, without those that overlap an earlier one."""
+    kept: list[tuple[int, int]] = []
+    for _, a, b in passed:
+        i = bisect.bisect_left(kept, (b, 0)) - 1
+        if i < 0 or kept[i][1] <= a:
+            kept.insert(i + 1, (a, b))
+    return kept
+
+
 def scan(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span, by start, then kind as listed."""
     text = text or ""
@@ -157,18 +189,16 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     tries = []
     taken = sorted((a, b) for _, a, b in out)
     for m in OPAQUE.finditer(text):
-        a, b = m.span()
-        i = bisect.bisect_right(taken, (b, 0)) - 1
-        if i >= 0 and taken[i][1] > a:
-            continue
-        run = m.group()
-        enc = infer(run)
-        if enc is None or len(run.rstrip("=")) < MIN_RUN or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
-            continue
-        tries.append((a, b, run, enc[1]))
+        for x, y, alphabet in parts(m.group()):
+            a, b = m.start() + x, m.start() + y
+            i = bisect.bisect_right(taken, (b, 0)) - 1
+            if i < 0 or taken[i][1] <= a:
+                tries.append((a, b, text[a:b], alphabet))
     if tries:
-        keep = false_discovery([-log_ratio(r, al) for _, _, r, al in tries])
-        out += [("entropy", a, b) for (a, b, r, al), k in zip(tries, keep, strict=True) if k and min(battery(r, al)) > ALPHA]
+        logp = [-log_ratio(r, al) for _, _, r, al in tries]
+        keep = false_discovery(logp)
+        passed = sorted((p, a, b) for (a, b, r, al), p, k in zip(tries, logp, keep, strict=True) if k and min(battery(r, al)) > ALPHA)
+        out += [("entropy", a, b) for a, b in _strongest(passed)]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
