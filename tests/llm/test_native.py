@@ -141,6 +141,17 @@ def test_prefix_sums(spark):
 RECORDS = "record_id long, kind string, url string, at long, status int, headers map<string,string>, payload string, extra string"
 
 
+def test_revisits_with_names_as_crawlers_spell_them(spark):
+    rows = [
+        (1, "response", "ex.org/a", 1, 200, {"ETag": '"1"', "Cache-Control": "old", "Server": "s"}, "p1", None),
+        (2, "revisit", "ex.org/a", 2, 304, {"ETAG": 'W/"1"', "etag": None, "Cache-Control": "first", "cache-control": "new"}, None, None),
+        (3, "response", "ex.org/b", 1, 200, {"Last-Modified": "m"}, "p3", None),
+        (4, "revisit", "ex.org/b", 2, 304, {"LAST-modified": "m"}, None, None),
+    ]
+    got = {r.record_id: (r.response_id, r.status, r.headers) for r in V.resolve_revisits(spark.createDataFrame(rows, RECORDS)).collect()}
+    assert got == {2: (1, "resolved", {"etag": 'W/"1"', "cache-control": "new", "server": "s"}), 4: (3, "resolved", {"last-modified": "m"})}
+
+
 def test_revisits(spark):
     rows = [
         (1, "response", "HTTP://Ex.org:80/a/?b=2&a=1&utm_source=x#f", 10, 200, {"etag": '"1"', "server": "s", "date": "d1"}, "p1", None),

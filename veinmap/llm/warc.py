@@ -15,6 +15,7 @@ without ``DROPPED`` parameters and sorted, path without a trailing slash.
 
 Defined results: a null URL or time never resolves (``no_capture``); of captures at the same time the one with
 the largest record id is latest, and a response at a revisit's own time isn't earlier; null headers are none;
+header names know no case and come out in lower case (of names that clash, one with a value before one without, then the last spelling in byte order);
 repeated revisits resolve alike, repeated responses are one capture; empty input gives empty output; extra
 columns aren't carried.
 """
@@ -24,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import let
+
 # Query parameters that don't name another resource, and headers that a
 # not-modified answer may replace.
 DROPPED = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref")
@@ -44,6 +47,17 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
+def lower_names(headers: Column) -> Column:
+    """The headers with their names in lower case, one of each."""
+
+    def one_each(es: Column) -> Column:
+        last = F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda x: F.lower(x["key"]) == F.lower(e["key"])))
+        return F.map_from_entries(F.transform(last, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+
+    entries = F.transform(F.map_entries(headers), lambda e: F.struct(e["value"].isNotNull().alias("said"), e["key"].alias("key"), e["value"].alias("value")))
+    return F.when(F.forall(F.map_keys(headers), lambda k: k == F.lower(k)), headers).otherwise(let(F.array_sort(entries), one_each))
+
+
 def resolve_revisits(records: DataFrame, slot: int = SLOT) -> DataFrame:
     """One row per revisit: record_id, canonical, at, response_id, status, headers, payload.
 
@@ -56,7 +70,7 @@ def resolve_revisits(records: DataFrame, slot: int = SLOT) -> DataFrame:
         "kind",
         canonical_url(F.col("url")).alias("canonical"),
         F.col("at").cast("long").alias("at"),
-        F.coalesce("headers", none).alias("headers"),
+        lower_names(F.coalesce("headers", none)).alias("headers"),
         "payload",
         F.coalesce((F.col("kind") == "response") & (F.col("status") == 200), F.lit(False)).alias("full"),
     ).withColumn("slot", F.floor(F.col("at") / slot).cast("long"))
