@@ -25,14 +25,18 @@ WORDS = T.path("word_bpe_49k.json")
 def texts(seed=0):
     rng = random.Random(seed)
     alphabet = [32, 9, 10, 13, 0x1C, 0x85, 0xA0, 0x200B, 0x3000, 65, 66, 97, 98, 0xE9, 0x4E2D, 0x1F600, 0x301, 48, 57, 0x661, 39, 46, 44, 33, 0x130, 0x3A3, 0x1E9E]
-    out = ["", "a" * 3000, "abcdefgh" * 100, "é" * 300, "it's I'LL we'Ve 12345 ...,,, x.y,z", "<|endoftext|> and <|startoftext|>", "ends. 'quote'? \"yes!\" (no.)", "x" * 70_000]
-    return out + ["".join(chr(rng.choice(alphabet)) for _ in range(rng.randrange(400))) for _ in range(60)]
+    marks = [*range(0x300, 0x370), 72, 74, 84, 87, 89, 0xC9, 0xE9, 0xD7, 0xF7, 0xDF, 0xFF, 60, 61, 62, 0x212A, 0x37E]
+    out = ["", "a" * 3000, "abcdefgh" * 100, "é" * 300, "it's I'LL we'Ve 12345 ...,,, x.y,z", "ends. 'quote'? \"yes!\" (no.)", "x" * 70_000]
+    out += ["<|endoftext|> and <|startoftext|>", "A<|endoftext|>B H\u0331", "<|EndOfText|> <|endoftext|>x<|ENDOFTEXT|>.", "<|<|startoftext|>|>.\u0338 \u0338a<|endoftext|>\u0331", "H\u0331 T\u0308 J\u030c W\u030a Y\u030a é, É. ñ! ×, ÷. ß?"]
+    bits = ["<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", "<|", "|>", "'s", "'LL", *map(chr, alphabet), *map(chr, marks[112:])]
+    out += ["".join(chr(rng.choice(alphabet)) for _ in range(rng.randrange(400))) for _ in range(60)]
+    out += ["".join(chr(rng.choice(rng.choice([alphabet, marks]))) for _ in range(rng.randrange(60))) for _ in range(400)]
+    return out + ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(400)]
 
 
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     return lambda s: t.encode(s or "", add_special_tokens=False).ids
 
 

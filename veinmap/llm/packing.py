@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from .common import tokenizer_path
 from .ordered import by_id
-from .word_ids import encoder, slices
+from .word_ids import ENCODE_CHARS, encoder, slices
 
 LIMIT = 4096
 END_ID = 2
@@ -40,13 +40,15 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray, total: int, step: int = HARD_STEP) -> tuple[np.ndarray, np.ndarray]:
     """Places where a cut may lie (ascending, the last is ``total``) and their penalties."""
-    pos = np.unique(np.concatenate([[0], doc_ends, sentence_ends, [total]]).astype(np.int64))
-    wide = np.flatnonzero(np.diff(pos) > step)
-    if len(wide):
-        pos = np.unique(np.concatenate([pos, *[np.arange(pos[k] + step, pos[k + 1], step) for k in wide]]))
-    cost = np.full(len(pos), HARD_PENALTY, np.int64)
-    cost[np.searchsorted(pos, sentence_ends)] = SENTENCE_PENALTY
-    cost[np.searchsorted(pos, doc_ends)] = 0
+    price = np.full(total + 1, -1, np.int8)
+    price[[0, total]] = HARD_PENALTY
+    price[sentence_ends] = SENTENCE_PENALTY
+    price[doc_ends] = 0
+    pos = np.flatnonzero(price >= 0)
+    for k in np.flatnonzero(np.diff(pos) > step).tolist():
+        price[pos[k] + step : pos[k + 1] : step] = HARD_PENALTY
+    pos = np.flatnonzero(price >= 0)
+    cost = price[pos].astype(np.int64)
     return pos[1:], cost[1:]
 
 
@@ -151,7 +153,7 @@ def pack(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = END
         enc, buffer = encoder(vocabulary), _Buffer()
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=ENCODE_CHARS):
                 got = enc.encode(part.column("text"), end_id)
                 buffer.add(part.column("doc_id").to_pylist(), got.ids, got.ends, got.counts)
                 if buffer.size >= block:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import fresh_path, tokenizer_path
 from .ordered import by_id
-from .word_ids import encoder, slices
+from .word_ids import ENCODE_CHARS, encoder, slices
 
 MAGIC = b"VMTOKS01"
 END_ID = 2
@@ -57,7 +57,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = Non
         keys, nulls, counts = [], [], []
         out = None
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=ENCODE_CHARS):
                 if out is None:
                     out = store.open_output_stream(f"{final}.bin.{attempt}")
                 got = enc.encode(part.column("text"), end_id)
