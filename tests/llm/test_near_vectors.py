@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from veinmap.llm.near_vectors import BLOCK, forest, linked_pairs, near_vectors, plan, rotations, unit
+from veinmap.llm.near_vectors import BLOCK, Codes, encode, forest, linked, near_vectors, plan, unit
 from veinmap.llm import near_vectors as N
 
 
@@ -64,21 +64,50 @@ def test_large_bucket_is_dealt_out(spark, monkeypatch):
     assert BLOCK > 16
 
 
+def test_several_tables_and_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(N, "PER_BUCKET", 8)
+    x = clustered(9, 600, 24).tolist()
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want = brute(list(range(len(x))), [np.float32(v).tolist() for v in x])
+    links = sum(w[1] for w in want)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(df).collect())
+    assert plan(600)[1] * plan(600)[0] > 24 and links > 300
+    assert sum(g[1] for g in got) >= 0.99 * links and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+    monkeypatch.setattr(N, "BLOCK", 100)
+    assert plan(600, miss=0) == (0, 1)
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(df, miss=0).collect()) == want
+
+
 def test_estimate_is_unbiased_and_bounds_hold():
     rng = np.random.default_rng(5)
     a, b = rng.standard_normal((2, 3000, 64))
     b = 0.3 * b + a
-    u = unit([r.tobytes() for r in np.concatenate([a, b])], 64)
-    turned = u @ rotations(64, 1).T
-    factor = np.abs(turned).sum(axis=1) / 8
-    codes = np.sign(turned[:3000]) / 8
-    estimate = (codes * turned[3000:]).sum(axis=1) / factor[:3000]
+    u = unit(np.concatenate([a, b]))
+    codes = Codes([c.tobytes() for c in encode(u, 200)], 64)
+    assert codes.bits.shape[1] >= 200 and abs(codes.factor.mean() - 0.8) < 0.02
+    estimate = (codes.signs[:3000] * codes.steps[3000:]).sum(axis=1) / codes.factor[:3000, 0]
     true = (u[:3000] * u[3000:]).sum(axis=1)
     assert abs((estimate - true).mean()) < 0.003
-    x, y, exact = linked_pairs(u, factor, np.arange(3000), np.arange(3000, 6000), 0.95)
+    left, right = np.arange(3000), np.arange(3000, 6000)
+    found = [np.concatenate(p) for p in zip(*codes.near(left, right, 0.95, 5.0), strict=True)]
+    hit = linked(u, *found, 0.95)
     want = {(i, i + 3000) for i in range(3000) if true[i] >= 0.95}
-    assert want <= set(zip(x.tolist(), y.tolist(), strict=True)) and exact < 0.01 * 3000 * 3000
+    assert want <= set(zip(found[0][hit].tolist(), found[1][hit].tolist(), strict=True)) and len(hit) < 0.01 * 3000 * 3000
+    assert len(np.concatenate([x for x, _ in codes.near(left[:50], None, 0.95, float("inf"))])) == 50 * 49 // 2
+
+
+def test_deviation_covers_pairs_at_the_threshold():
+    rng = np.random.default_rng(6)
+    a, e = rng.standard_normal((2, 4000, 64))
+    a = unit(a)
+    e = unit(e - (e * a).sum(axis=1, keepdims=True) * a)
+    u = np.concatenate([a, 0.95 * a + np.sqrt(1 - 0.95**2) * e])
+    codes = Codes([c.tobytes() for c in encode(u, 64)], 64)
+    by = (codes.signs[:4000] * codes.steps[4000:]).sum(axis=1) / codes.factor[:4000, 0]
+    assert abs((by - 0.95).mean()) < 0.002
+    z = (by - 0.95) / codes.deviation(0.95)[:4000, 0]
+    assert z.std() < 1.1 and np.abs(z).max() < 5
 
 
 def test_plan_grows_slowly():
-    assert plan(100)[0] == 6 and plan(10**9)[0] == 24 and plan(50_000)[1] < 30
+    assert plan(100) == (0, 1) and plan(10**9)[0] == 20 and plan(10**9)[1] < 70 and plan(50_000)[1] < 15
