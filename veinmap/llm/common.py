@@ -28,7 +28,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests on one machine) a temporary folder is made and set.
+    Where the session has none a temporary folder is made and set, on one machine only: elsewhere executors would each
+    write to a disk of their own, so that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
@@ -37,6 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = kept.get() if kept.isDefined() else None
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="veinmap-")
         spark.sparkContext.setCheckpointDir(at)
     return at

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_table
+from .common import drop_kept, kept_table
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -22,19 +22,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
     """(node, root): every node of an edge with the least node that it is connected with.
 
     Large-star and small-star steps in turn until the edges no longer change. A hub costs as many rows as it has
-    edges, never pairs of neighbours; each round is written to the shared folder, which cuts
-    lineage. Edges with a null end are left out; loops give a node of its own.
+    edges, never pairs of neighbours. Least neighbours are written to the shared folder before they are joined back:
+    that cuts lineage, and the join of a hub's edges is one that adaptive execution can split (it can't where a side is
+    an aggregate of the same key) or turn into a broadcast of what it finds small. Tables of a round are removed
+    after it. Edges with a null end are left out; loops give a node of its own.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
     nodes = kept_table(e, "edges")
-    e, before = nodes.filter("u <> v"), None
+    e, before, used = nodes.filter("u <> v"), None, []
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").withColumn("m", F.least("m", "u")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = _least(large)
-        small = large.join(least, "u")
-        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        hub = kept_table(_least(both), "least")
+        large = kept_table(both.join(hub, "u").withColumn("m", F.least("m", "u")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges")
+        least = kept_table(_least(large), "least")
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         e = kept_table(small, "edges")
+        for done in (*used, hub, large, least):
+            drop_kept(done)
+        used = [e]
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -18,8 +18,8 @@ Exact, by universe partition and pigeonhole:
   within the bound go on. No bucket is cut and no candidate is dropped.
 * Verification intersects the sets of 64-bit hashes.
 
-Nothing grows with a group of equal texts but its rows, and bucket joins are plain equi-joins, whose hot keys
-adaptive execution splits. Signatures travel as arrays per task and partition, about 10 bytes each.
+Nothing grows with a group of equal texts but its rows. What is aggregated by bucket or root is written before it is joined
+back, so that these joins are plain ones, whose hot keys adaptive execution splits. Signatures travel as arrays per task and partition, about 10 bytes each.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; repeated rows and ids
 are rows of their own; a null id is never a component's smallest one; empty tables give empty results; the
@@ -315,7 +315,7 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
 
 def _crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(a, b) candidates of rows (bucket, node, n, own, root, sketch) in live buckets."""
-    large = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > BLOCK).select("bucket", F.ceil(F.col("rows") / BLOCK).cast("int").alias("nb"))
+    large = kept_table(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > BLOCK).select("bucket", F.ceil(F.col("rows") / BLOCK).cast("int").alias("nb")), "large")
     d = members.join(large, "bucket", "left").withColumn("side", F.when(F.col("nb").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("nb") - 1, F.lit(0))))).withColumn("bi", F.least("side", "other")).withColumn("bj", F.greatest("side", "other"))
     keys = ["bucket", "bi", "bj"]
@@ -385,7 +385,7 @@ def near_texts(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", tex
         m = members.withColumn("root", F.col("node")) if root is None else members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         # the first pivots have most bucket mates; later ones are others
         order = F.struct((-F.col("mates") if r == 0 else F.xxhash64("node", F.lit(r))).alias("o"), "node", "n", "root")
-        live = m.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.when(F.col("own"), order)).alias("pivot")).filter("lo <> hi")
+        live = kept_table(m.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.when(F.col("own"), order)).alias("pivot")).filter("lo <> hi"), "pivots")
         if r < rounds:
             m = m.join(live.select("bucket", "pivot"), "bucket").select("node", "n", "root", F.col("pivot.node").alias("pnode"), F.col("pivot.n").alias("pn"), F.col("pivot.root").alias("proot"))
             near = (F.col("root") != F.col("proot")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
@@ -403,7 +403,7 @@ def near_texts(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", tex
         links = found if links is None else links.unionByName(found)
         root = components(links)
     of = nodes.select("node", F.col("rep.doc_id").alias("least")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = kept_table(of.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     of = of.join(least, "root").select("node", "component_id", "root")
     out = every.join(of, "node", "left")
     return out.select("doc_id", "tie", F.col("n").alias("n_shingles"), "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
