@@ -6,10 +6,12 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from veinmap.functions import reading
 from veinmap.functions import rules as R
 from veinmap.functions.reading import register_functions
 from veinmap.operators import graph, jobs, reports, trace, views
-from veinmap.plans.run import build, latest_run, run_and_save
+from veinmap.plans.run import build
+from veinmap.plans.saved import latest_run, open_run, run_and_save
 from veinmap.sources import sinks, tables
 from veinmap.streaming.jobs import follow
 
@@ -196,7 +198,82 @@ def test_saved_runs(spark, tmp_path):
         run_and_save(bad, str(tmp_path / "runs"))
     runs = spark.read.parquet(str(tmp_path / "runs/runs"))
     assert {x.run_id: x.status for x in runs.collect()} == {3: "COMPLETED", 4: "FAILED"} and latest_run(runs).first().run_id == 3
-    assert spark.read.parquet(str(tmp_path / "runs/edges")).filter("run_id = 3").count() == 1
+    edges = spark.read.parquet(str(tmp_path / "runs/edges"))
+    assert edges.filter("run_id = 3").count() == 1 and edges.filter("run_id = 4").count() == 0
+    assert {x.run_id: x.status for x in runs.collect()}[4] == "FAILED" and runs.filter("run_id = 4").first().finished_at is not None
+    run_and_save(build(jobs_frame(spark, [(1, "A", "B", "A"), (2, "A", "C", "B")]), owner="ME", run_id=3), str(tmp_path / "runs"))
+    old = open_run(spark, str(tmp_path / "runs"))
+    assert old.run_id == 3 and old.frame("edges").count() == 2 and old.row.first().rows_read == 2
+    assert {r.path for r in old.trace_object("c").collect()} == {"C <- B", "C <- B <- A"}
+    got = old.sql("SELECT t.path, n.node_class FROM trace_object('it''s') x RIGHT JOIN trace_object('C', 'UP', 1) t ON x.path = t.path JOIN {nodes} n ON n.node_name = t.source_node").collect()
+    assert [tuple(r) for r in got] == [("C <- B", "INTERMEDIATE")]
+    assert {r.path for r in old.sql("SELECT * FROM trace_column('C', 'X')").collect()} == {"C.X <- B.X", "C.X <- B.X <- A.X"}
+    with pytest.raises(ValueError, match="literals"):
+        old.sql("SELECT * FROM trace_object(name)")
+    with pytest.raises(ValueError, match="no such"):
+        open_run(spark, str(tmp_path / "runs"), 4)
+
+
+def test_failed_run_leaves_no_frames(spark, tmp_path, monkeypatch):
+    r = build(jobs_frame(spark, [(1, "A", "B", "A")]), owner="ME", run_id=7)
+    broken = r.edges.withColumn("source_node", F.raise_error(F.lit("late")).cast("string"))
+    monkeypatch.setattr(type(r), "frames", lambda self: {"jobs": self.jobs, "edges": broken})
+    with pytest.raises(Exception, match="late"):
+        run_and_save(r, str(tmp_path / "runs"))
+    assert spark.read.parquet(str(tmp_path / "runs/runs")).first().status == "FAILED" and not (tmp_path / "runs/jobs/run_id=7").exists()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from veinmap.__main__ import main
+
+    (tmp_path / "j.csv").write_text("JOB_NUM,JOB_NAMES,TARGET_OBJECT,SOURCE_OBJECT,UNIQUE_COL,FILTER_CLAUSE,SQL_STMT,DISABLED_FLAG\n1,ALL|A,T,S_V,,,,\n2,ALL|B,U,T,,,,\n")
+    main([str(tmp_path / "j.csv"), "--out", str(tmp_path / "out"), "--owner", "me"])
+    assert "edges: 2" in capsys.readouterr().out
+    assert spark.read.csv(str(tmp_path / "out/csv/edges"), header=True).count() == 2
+    chart = [r.value for r in spark.read.text(str(tmp_path / "out/flowcharts/chart=A")).collect()]
+    assert chart[0] == "flowchart LR" and any("|1 LOAD_REPLACE|" in x for x in chart)
+    assert any("'S_V'" in r.value for r in spark.read.text(str(tmp_path / "out/view_script")).collect())
+    assert spark.read.text(str(tmp_path / "out/load_script")).count() == 4
+
+
+def test_long_chains_on_the_driver_and_by_joins(spark):
+    chain = [(f"n{i:06}", f"n{i + 1:06}") for i in range(30_000)]
+    assert len(set(graph._tarjan(chain).values())) == 30_001
+    assert max(graph._levels_here(chain, graph._tarjan(chain)).values()) == 30_000
+    e = edges_of(spark, [(f"n{i:02}", f"n{i + 1:02}") for i in range(12)] + [("n12", "n10"), ("a", "b"), ("b", "a"), ("b", "c")])
+    g = graph.graph_edges(e)
+    both = [sorted(tuple(r) for r in graph.places(g, n).select("node", "root", "dag_level", "in_cycle").collect()) for n in (1000, 0)]
+    assert both[0] == both[1] and ("c", "c", 1, "N") in both[0] and ("n11", "n10", 10, "Y") in both[0]
+    dag = graph.graph_edges(edges_of(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("x", "c")]))
+    assert {(r.node, r.dag_level) for r in graph.places(dag, 0).collect()} == {("a", 0), ("x", 0), ("b", 1), ("c", 2)}
+
+
+def test_paths_end_at_their_bytes(spark):
+    from veinmap.operators.trace import PATH_LIMIT, _cut
+
+    rows = ["a" * 3999 + "é", "a" * 3998 + "é", "é" * 3000, "short", None]
+    got = [r.p for r in spark.createDataFrame([(x,) for x in rows], "s string").select(_cut(F.col("s")).alias("p")).collect()]
+    assert got == ["a" * 3999, rows[1], "é" * 2000, "short", None] and PATH_LIMIT == 4000
+
+
+def test_loading_into_a_table(spark):
+    j = jobs_frame(spark, [(1, "A", "B", "A")])
+    for truncate, n in ((True, 1), (False, 2), (True, 1)):
+        tables.load_into_table(j, "loaded_jobs", truncate)
+        assert tables.read_jobs_table(spark, "loaded_jobs").count() == n
+    spark.sql("DROP TABLE loaded_jobs")
+
+
+def test_names_in_a_text():
+    assert reading.names_in('select a.b, "Q q".c from me . t x /* z.z */ where x.y = \'s.t\' and f(1)') >= {"A.B", "Q q", "Q q.C", "ME.T", "T", "X", "X.Y", "F"}
+
+
+def test_deep_inline_views_are_read_in_one_pass():
+    import time
+
+    sql = "select x from " + "(select x from " * 2000 + "t" + ")" * 2000
+    began = time.perf_counter()
+    assert reading.analyze(sql, "V", None, None, False).refs[0][0] == "T" and time.perf_counter() - began < 10
 
 
 def test_sql_functions(spark):

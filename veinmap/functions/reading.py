@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .rules import name_of, owner_of
 from .sqltext import analyze, tokenize
-from .sqltext.analyze import LINEAGE_COLUMNS, TREE_COLUMNS
+from .sqltext.analyze import LINEAGE_COLUMNS, TREE_COLUMNS, tidy_name
 
 _REF = pa.struct([("object_name", pa.string()), ("object_role", pa.string()), ("ref_context", pa.string())])
 _LINEAGE = pa.struct([(c, pa.int32() if c == "column_pos" else pa.string()) for c in LINEAGE_COLUMNS])
@@ -47,16 +47,31 @@ def read_statements(statements: DataFrame, tree: bool = True) -> DataFrame:
     return statements.select("id", "sql", "target", "owner", "columns").mapInArrow(run, _SCHEMA)
 
 
+def names_in(sql: str) -> set[str]:
+    """Names of one and two parts, as they are read, that the tokens of a text form."""
+    out, before, dot = set(), None, False
+    for t in tokenize(sql):
+        if t.kind in ("ID", "QID"):
+            out.add(t.name)
+            if dot and before is not None:
+                out.add(f"{before}.{t.name}")
+            before, dot = t.name, False
+        else:
+            dot = t.kind == "."
+            before = before if dot else None
+    return out
+
+
 def table_names(statements: DataFrame) -> DataFrame:
-    """(id, owner, name) of every table that a statement or its target may need the columns of; a light first reading."""
+    """(id, owner, name) of every name, of one or two parts, that may be a table's in a statement, and of its target: the text's tokens, without parsing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for key, sql, target, owner in zip(*(b.column(c).to_pylist() for c in ("id", "sql", "target", "owner")), strict=True):
-                a = analyze(sql, target, owner, None, False)
-                names = {r[0] for r in a.refs} | {n for n in (a.target, target) if n}
-                rows += [(key, owner, n) for n in sorted(names)]
+                own = f"{owner.upper()}." if owner else "."
+                names = names_in(sql or "") | {n for n in (target, tidy_name(target)) if n}
+                rows += [(key, owner, n) for n in sorted({n.removeprefix(own) for n in names})]
             k, o, n = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(o, pa.string()), pa.array(n, pa.string())], ["id", "owner", "name"])
 

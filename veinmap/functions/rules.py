@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Markers of a disabled job, names of the one-row table, loader debris.
+# Markers of a disabled job, names of the one-row table, loader debris, the form of an object name and its longest.
 DISABLED = ("Y", "YES", "TRUE", "1", "X", "D", "DEL", "DELETED", "DISABLED", "INACTIVE", "OFF")
 ONE_ROW_TABLE = ("DUAL", "SYS.DUAL", "PUBLIC.DUAL")
 CARRIAGE = "_x000D_|\r"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import cached_property
 
 from .lexer import Token, tokenize
 
@@ -43,6 +44,17 @@ class Reader:
         self.status = "OK"
         self.message: str | None = None
 
+    @cached_property
+    def partner(self) -> dict[int, int]:
+        """Place of the closing parenthesis of each opening one that has one."""
+        out, open_at = {}, []
+        for i, t in enumerate(self.tokens):
+            if t.kind == "(":
+                open_at.append(i)
+            elif t.kind == ")" and open_at:
+                out[open_at.pop()] = i
+        return out
+
     # -- cursor
     def peek(self, ahead: int = 0) -> Token:
         i = self.at + ahead

@@ -21,9 +21,9 @@ PSEUDO = _set(
     "ORA_ROWSCN CONNECT_BY_ISLEAF CONNECT_BY_ISCYCLE"
 )
 AGGREGATE = _set(
-    "SUM COUNT MIN MAX AVG MEDIAN LISTAGG STDDEV STDDEV_POP STDDEV_SAMP VARIANCE VAR_POP VAR_SAMP COLLECT XMLAGG CORR COVAR_POP COVAR_SAMP "
-    "REGR_SLOPE REGR_INTERCEPT PERCENTILE_CONT PERCENTILE_DISC STATS_MODE APPROX_COUNT_DISTINCT APPROX_MEDIAN APPROX_SUM ANY_VALUE JSON_ARRAYAGG "
-    "JSON_OBJECTAGG BIT_AND_AGG BIT_OR_AGG BIT_XOR_AGG"
+    "SUM COUNT MIN MAX AVG LISTAGG MEDIAN STDDEV STDDEV_POP STDDEV_SAMP VARIANCE VAR_POP VAR_SAMP COLLECT XMLAGG JSON_ARRAYAGG JSON_OBJECTAGG "
+    "CORR COVAR_POP COVAR_SAMP PERCENTILE_CONT PERCENTILE_DISC APPROX_COUNT_DISTINCT APPROX_SUM APPROX_MEDIAN ANY_VALUE REGR_SLOPE REGR_INTERCEPT "
+    "STATS_MODE BIT_AND_AGG BIT_OR_AGG BIT_XOR_AGG"
 )
 NOT_ALIAS = STOP | OPERATOR | _set("PIVOT UNPIVOT PARTITION SUBPARTITION SAMPLE LATERAL APPLY MATCHED NOCYCLE")
 SET_OPERATOR = _set("UNION INTERSECT MINUS EXCEPT")

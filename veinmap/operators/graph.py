@@ -7,8 +7,10 @@ are found by trimming and colouring, in joins only.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,8 +93,9 @@ def _tarjan(edges: list[tuple[str, str]]) -> dict[str, str]:
             if nxt is None:
                 trail.pop()
                 if low[node] == number[node]:
-                    members = stack[stack.index(node) :]
-                    del stack[len(stack) - len(members) :]
+                    members = [stack.pop()]
+                    while members[-1] != node:
+                        members.append(stack.pop())
                     root |= dict.fromkeys(members, min(members))
                 elif trail:
                     low[trail[-1][0]] = min(low[trail[-1][0]], low[node])
@@ -105,14 +108,21 @@ def _tarjan(edges: list[tuple[str, str]]) -> dict[str, str]:
     return root
 
 
-def _reach(frontier: DataFrame, edges: DataFrame) -> DataFrame:
-    """Closure of (node, color) along edges (src, dst, color) that stay in one colour."""
-    seen = fresh = stable(frontier)
-    while not fresh.isEmpty():
-        nxt = edges.join(fresh.withColumnRenamed("node", "src"), ["src", "color"]).select(F.col("dst").alias("node"), "color").distinct()
-        fresh = stable(nxt.join(seen, ["node", "color"], "left_anti"))
-        seen = stable(seen.unionByName(fresh))
-    return seen
+def _least_reaching(edges: DataFrame) -> DataFrame:
+    """(node, color): the least node from which each node of the edges (src, dst) is reached, itself included.
+
+    A node takes the least colour of its predecessors, then that of its own colour (what reaches the colour reaches the
+    node), so that rounds don't grow with the length of paths.
+    """
+    color = stable(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("color", F.col("node")))
+    while True:
+        least = edges.join(color.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("c"))
+        hop = stable(color.join(least, "node", "left").select("node", F.least("color", F.coalesce("c", "color")).alias("color"), F.col("color").alias("old")))
+        jump = hop.select(F.col("node").alias("color"), F.col("color").alias("c"))
+        nxt = stable(hop.join(jump, "color").select("node", F.least("color", "c").alias("color"), (F.least("color", "c") < F.col("old")).alias("moved")))
+        color = nxt.select("node", "color")
+        if nxt.filter("moved").isEmpty():
+            return color
 
 
 def components_by_colour(edges: DataFrame) -> DataFrame:
@@ -120,72 +130,120 @@ def components_by_colour(edges: DataFrame) -> DataFrame:
     them; what reaches back to that node within its colour is its component; repeat on what is left."""
     e, done = stable(edges.select("src", "dst").filter("src <> dst").distinct()), []
     every = stable(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-    while True:
+    before = e.count()
+    while before:
         while True:  # peel
             both = e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
-            kept = stable(e.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
-            n, before = kept.count(), e.count()
-            e = kept
-            if n in (0, before):
+            e = stable(e.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+            n, before = before, e.count()
+            if before in (0, n):
                 break
-        if not n:
+        if not before:
             break
-        color = stable(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("color", F.col("node")))
-        while True:
-            least = e.join(color.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("c"))
-            nxt = stable(color.join(least, "node", "left").select("node", F.least("color", F.coalesce("c", "color")).alias("color"), (F.coalesce("c", "color") < F.col("color")).alias("moved")))
-            moved = not nxt.filter("moved").isEmpty()
-            color = nxt.select("node", "color")
-            if not moved:
-                break
+        color = _least_reaching(e)
         inner = e.join(color.withColumnRenamed("node", "src"), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("c")), "dst").filter("color = c")
-        back = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "color")
-        members = _reach(color.filter("node = color"), back).select("node", F.col("color").alias("root"))
-        members = stable(members)
+        # within a colour its own node is the least, so whoever reaches it has it as the least node on the way back
+        back = _least_reaching(stable(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+        members = stable(back.join(color.withColumnRenamed("color", "root"), "node").filter("color = root").select("node", "root"))
         done.append(members)
         gone = members.select("node")
         e = stable(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+        before = e.count()
     out = every.withColumn("root", F.lit(None).cast(every.schema["node"].dataType))
     for members in done:
         out = out.join(members.withColumnRenamed("root", "r"), "node", "left").select("node", F.coalesce("root", "r").alias("root"))
     return out.select("node", F.coalesce("root", "node").alias("root"))
 
 
+def _pairs(edges: DataFrame, at_most: int) -> list[tuple[str, str]] | None:
+    """The distinct edges on the driver, None if there are more than a fixed number of them (counted first)."""
+    e = stable(edges.select("src", "dst").filter("src <> dst").distinct())
+    if not at_most or e.count() > at_most:
+        return None
+    t = e.toArrow()
+    return list(zip(t.column("src").to_pylist(), t.column("dst").to_pylist(), strict=True))
+
+
 def strong_components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """(node, root): the least node of each node's strongly connected component."""
-    e = edges.select("src", "dst").filter("src <> dst").distinct()
-    rows = e.limit(driver_edges + 1).collect() if driver_edges else []
-    if driver_edges and len(rows) <= driver_edges:
-        root = _tarjan([(r[0], r[1]) for r in rows])
-        kind = e.schema["src"].dataType.simpleString()
-        return edges.sparkSession.createDataFrame(sorted(root.items()), f"node {kind}, root {kind}")
-    return components_by_colour(e)
+    pairs = _pairs(edges, driver_edges)
+    if pairs is None:
+        return components_by_colour(edges)
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame(sorted(_tarjan(pairs).items()), f"node {kind}, root {kind}")
 
 
-def levels(edges: DataFrame, roots: DataFrame, limit: int = 10_000) -> DataFrame:
-    """(node, dag_level, in_cycle): longest path over the components, all members of a component on one level."""
-    of = stable(roots)
-    e = edges.join(of.select(F.col("node").alias("src"), F.col("root").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("root").alias("b")), "dst").filter("a <> b").select("a", "b").distinct()
-    e = stable(e)
-    # a component's level is the last step at which a walk from the starts arrives at it
-    parts, step = [of.select("root").distinct().withColumn("dag_level", F.lit(0))], 0
-    fresh = stable(e.select(F.col("b").alias("root")).distinct())
-    while not fresh.isEmpty() and step < limit:
+def _peel(e: DataFrame, every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Levels (node, dag_level) of what isn't in or behind a cycle of the edges (src, dst), and the edges that are left.
+
+    A round takes the nodes without incoming edges away with their edges, so an edge is read until it goes and never again.
+    """
+    front = stable(every.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").select("node"))
+    parts, step = [front.withColumn("dag_level", F.lit(0))], 0
+    while not front.isEmpty():
         step += 1
-        parts.append(fresh.withColumn("dag_level", F.lit(step)))
-        fresh = stable(e.join(fresh.withColumnRenamed("root", "a"), "a", "left_semi").select(F.col("b").alias("root")).distinct())
+        marked = stable(e.join(front.select(F.col("node").alias("src"), F.lit(True).alias("gone")), "src", "left").select("src", "dst", F.coalesce("gone", F.lit(False)).alias("gone")))
+        e = marked.filter("not gone").select("src", "dst")
+        front = stable(marked.groupBy(F.col("dst").alias("node")).agg(F.bool_and("gone").alias("free")).filter("free").select("node"))
+        parts.append(front.withColumn("dag_level", F.lit(step)))
         if len(parts) == 32:
-            parts = [stable(reduce(DataFrame.unionByName, parts).groupBy("root").agg(F.max("dag_level").alias("dag_level")))]
-    level = reduce(DataFrame.unionByName, parts).groupBy("root").agg(F.max("dag_level").alias("dag_level"))
+            parts = [stable(reduce(DataFrame.unionByName, parts))]
+    return reduce(DataFrame.unionByName, parts), e
+
+
+def levels(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root, dag_level, in_cycle): longest path over the components, all members of a component on one level."""
+    of = stable(roots)
+    e = edges.join(of.select(F.col("node").alias("src"), F.col("root").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("root").alias("b")), "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    level, _ = _peel(stable(e), of.select(F.col("root").alias("node")).distinct())
     sizes = of.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    return of.join(level, "root").join(sizes, "root").select("node", "root", "dag_level", F.when(F.col("size") > 1, "Y").otherwise("N").alias("in_cycle"))
+    return of.join(level.withColumnRenamed("node", "root"), "root").join(sizes, "root").select("node", "root", "dag_level", F.when(F.col("size") > 1, "Y").otherwise("N").alias("in_cycle"))
+
+
+def _levels_here(pairs: list[tuple[str, str]], root: dict[str, str]) -> dict[str, int]:
+    """Longest path to each component, over the components in the order of a peel."""
+    e = {(root[a], root[b]) for a, b in pairs if root[a] != root[b]}
+    onward: dict[str, list[str]] = {}
+    waits = dict.fromkeys(root.values(), 0)
+    for a, b in e:
+        onward.setdefault(a, []).append(b)
+        waits[b] += 1
+    level = dict.fromkeys(waits, 0)
+    ready = [r for r, n in waits.items() if not n]
+    for r in ready:
+        for b in onward.get(r, ()):
+            level[b] = max(level[b], level[r] + 1)
+            waits[b] -= 1
+            if not waits[b]:
+                ready.append(b)
+    return level
+
+
+def places(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+    """(node, root, dag_level, in_cycle) of a graph: on the driver up to a fixed number of edges, else by joins.
+
+    A graph without cycles is done by one peel; components are looked for only if that leaves edges.
+    """
+    pairs = _pairs(edges, driver_edges)
+    kind = edges.schema["src"].dataType.simpleString()
+    if pairs is not None:
+        root = _tarjan(pairs)
+        level, size = _levels_here(pairs, root), Counter(root.values())
+        names = list(root)
+        t = pa.table({"node": pa.array(names), "root": pa.array([root[n] for n in names]), "dag_level": pa.array([level[root[n]] for n in names], pa.int32()), "in_cycle": pa.array(["Y" if size[root[n]] > 1 else "N" for n in names], pa.string())})
+        return edges.sparkSession.createDataFrame(t).select(F.col("node").cast(kind), F.col("root").cast(kind), "dag_level", "in_cycle")
+    e = stable(edges.select("src", "dst").filter("src <> dst").distinct())
+    level, left = _peel(e, e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    if left.isEmpty():
+        return level.select("node", F.col("node").alias("root"), "dag_level", F.lit("N").alias("in_cycle"))
+    return levels(e, components_by_colour(e))
 
 
 def nodes(edges: DataFrame, objects: DataFrame, dictionary: DataFrame | None = None, captured: DataFrame | None = None, owner: str | None = None, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """One row per node with type, degrees, use by jobs, classes, level and cycle flag."""
     names = node_names(edges, objects)
     g = stable(graph_edges(edges))
-    place = levels(g, strong_components(g, driver_edges)).select(F.col("node").alias("node_name"), "dag_level", "in_cycle")
+    place = places(g, driver_edges).select(F.col("node").alias("node_name"), "dag_level", "in_cycle")
     n = node_types(names, objects, dictionary, owner).join(degrees(edges), "node_name", "left").join(job_use(objects), "node_name", "left").join(place, "node_name", "left")
     n = n.na.fill(0, ["in_degree", "out_degree", "job_in_degree", "job_out_degree", "writer_jobs", "reader_jobs", "dag_level"]).na.fill("N", ["in_cycle"])
     if captured is not None:

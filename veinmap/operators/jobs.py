@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.stable import stable
+from ..functions.stable import numbered
 
 JOB_COLUMNS = ("job_num", "job_names", "target_object", "source_object", "unique_col", "filter_clause", "sql_stmt", "disabled_flag")
 
 
 def exec_sequence(jobs: DataFrame, by: str = "job_num", name: str = "exec_seq") -> DataFrame:
-    """Adds the place of each row in the order of ``by``, without bringing all rows to one task.
-
-    Rows are range-partitioned, numbered within a partition, and moved up by the size of the
-    partitions before (one row a partition). The dealt rows are written once: bounds come from a sample,
-    and a second evaluation could deal them otherwise.
-    """
-    n = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stable(jobs.repartitionByRange(n, by).withColumn("_part", F.spark_partition_id()))
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    local = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(by)))
-    return local.join(before, "_part").withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_at", "_before")
+    """Adds the place of each row in the order of ``by``, without bringing all rows to one task."""
+    return numbered(jobs, by, name=name)[0]
 
 
 def load_jobs(source: DataFrame) -> DataFrame:

@@ -2,16 +2,18 @@
 
 Breadth first, a level at a time: the frontier joins the edges; rows come in the order
 (rank of the node that is expanded, job, names), and the first row that reaches a node gives it its path
-and its rank on the next level. A trace starts at one object, so a level is small and its order is
-one window; the edges are never sorted.
+and its rank on the next level. A level is numbered by range partitions (``numbered``), which is also
+the one table that it writes: what was reached before is read from the levels' own rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stable import stable
+from ..functions.stable import numbered
 
 OBJECT_DEPTH, COLUMN_DEPTH, PATH_LIMIT = 50, 30, 4000
 
@@ -20,8 +22,14 @@ def is_downstream(direction: str | None) -> bool:
     return (direction or "UP").upper().startswith("DOWN")
 
 
-def _ranked(df: DataFrame, *order) -> DataFrame:
-    return df.withColumn("rn", F.row_number().over(Window.orderBy(*order)))
+def _cut(path: Column) -> Column:
+    """A path within the limit of PATH_LIMIT bytes, cut before a character that doesn't fit whole."""
+    whole = F.make_valid_utf8(F.substring(path.cast("binary"), 1, PATH_LIMIT).cast("string"))
+    return F.when(F.octet_length(path) <= PATH_LIMIT, path).otherwise(F.regexp_replace(whole, "\ufffd+$", ""))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def trace_object(edges: DataFrame, name: str, direction: str = "UPSTREAM", depth: int = OBJECT_DEPTH) -> DataFrame:
@@ -32,22 +40,21 @@ def trace_object(edges: DataFrame, name: str, direction: str = "UPSTREAM", depth
     name = name.strip().upper()
     e = edges.filter("is_self_loop = 'N'")
     front = spark.createDataFrame([(name, name, 1)], "node string, at string, rank int")
-    seen, out, lvl = front.select("node"), None, 0
+    seen, out, lvl = [front.select("node")], [], 0
+    shown = ["lvl", "source_node", "target_node", "job_num", "job_names", "action_type", "edge_origin", "ref_context", "path", "rn"]
     while lvl < depth:
         lvl += 1
         rows = e.join(front.withColumnRenamed("node", here), here)
-        rows = rows.withColumn("path", F.substring(F.concat("at", F.lit(arrow), F.col(there)), 1, PATH_LIMIT)).withColumn("lvl", F.lit(lvl))
-        rows = stable(_ranked(rows, "rank", F.asc_nulls_first("job_num"), "source_node", "target_node", "edge_origin", "ref_context"))
-        if rows.isEmpty():
+        rows = rows.withColumn("path", _cut(F.concat("at", F.lit(arrow), F.col(there)))).withColumn("lvl", F.lit(lvl))
+        rows, n = numbered(rows, "rank", F.asc_nulls_first("job_num"), "source_node", "target_node", "edge_origin", "ref_context")
+        if not n:
             break
-        part = rows.select("lvl", "source_node", "target_node", "job_num", "job_names", "action_type", "edge_origin", "ref_context", "path", "rn")
-        out = part if out is None else out.unionByName(part)
-        found = rows.groupBy(F.col(there).alias("node")).agg(F.min_by("path", "rn").alias("at"), F.min("rn").alias("rank")).join(seen, "node", "left_anti")
-        front = stable(found)
-        seen = stable(seen.unionByName(front.select("node")))
-    if out is None:
-        return e.limit(0).select(F.lit(0).alias("lvl"), "source_node", "target_node", "job_num", "job_names", "action_type", "edge_origin", "ref_context", F.lit("").alias("path"), F.lit(0).alias("rn"))
-    return out
+        out.append(rows.select(*shown))
+        front = rows.groupBy(F.col(there).alias("node")).agg(F.min_by("path", "rn").alias("at"), F.min("rn").alias("rank")).join(_union(seen), "node", "left_anti")
+        seen.append(rows.select(F.col(there).alias("node")).distinct())
+    if not out:
+        return e.limit(0).select(F.lit(0).alias("lvl"), *shown[1:-2], F.lit("").alias("path"), F.lit(0).cast("long").alias("rn"))
+    return _union(out)
 
 
 _TRACE = ["lvl", "target_object", "target_column", "transform_type", "expression", "source_object", "source_column", "ref_role", "lineage_origin", "job_num", "path", "rn"]
@@ -63,10 +70,11 @@ def trace_column(lineage: DataFrame, name: str, column: str, direction: str = "U
     spark = lineage.sparkSession
     name, column = name.strip().upper(), column.strip().upper()
     front = spark.createDataFrame([(name, column, f"{name}.{column}", 1)], "o string, c string, at string, rank int")
-    seen, out, lvl = front.select("o", "c"), None, 0
-    emitted = None
+    seen, out, emitted, lvl = [front.select("o", "c")], [], [], 0
     key = ["target_object", "target_column", "source_object", "source_column", "job_num", "lineage_origin", "ref_role"]
-    lin = lineage.select(*[x for x in _TRACE if x not in ("lvl", "path", "rn")])
+    shown = [x for x in _TRACE if x not in ("lvl", "path", "rn")]
+    ids = [f"_{k}" for k in key]
+    lin = lineage.select(*shown)
     while lvl < depth:
         lvl += 1
         f = front.select(F.col("o").alias(obj), "c", "at", "rank")
@@ -74,25 +82,23 @@ def trace_column(lineage: DataFrame, name: str, column: str, direction: str = "U
         star = lin.filter(F.col(col) == "*").drop(col).join(f.filter("c <> '*'"), obj).withColumn(col, F.col("c"))
         rows = exact.unionByName(star.select(*exact.columns)).withColumn("_said", F.col(to_col)).withColumn(to_col, F.when(F.col(to_col) == "*", F.col("c")).otherwise(F.col(to_col))).withColumn("lvl", F.lit(lvl))
         label = F.when(F.col(to_obj).isNull(), "(constant)").otherwise(F.concat_ws(".", to_obj, F.coalesce(to_col, F.lit(""))))
-        rows = rows.withColumn("path", F.substring(F.concat("at", F.lit(arrow), label), 1, PATH_LIMIT))
-        rows = _ranked(rows, "rank", F.asc_nulls_first("job_num"), F.asc_nulls_last("source_object"), F.asc_nulls_last("source_column"), "target_object", "target_column", "_said", "ref_role", "transform_type", "expression")
-        nulls = [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"_{k}") for k in key]
-        rows = rows.select("*", *nulls).withColumn("_nth", F.row_number().over(Window.partitionBy(*[f"_{k}" for k in key]).orderBy("rn"))).filter("_nth = 1")
-        if emitted is not None:
-            rows = rows.join(emitted, [f"_{k}" for k in key], "left_anti")
-        rows = stable(rows)
-        if rows.isEmpty():
+        rows = rows.withColumn("path", _cut(F.concat("at", F.lit(arrow), label)))
+        order = ["rank", F.asc_nulls_first("job_num"), F.asc_nulls_last("source_object"), F.asc_nulls_last("source_column"), "target_object", "target_column", "_said", "ref_role", "transform_type", "expression"]
+        rows = rows.select("*", *[F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(i) for k, i in zip(key, ids, strict=True)])
+        rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*ids).orderBy(*order))).filter("_nth = 1")
+        if emitted:
+            rows = rows.join(_union(emitted), ids, "left_anti")
+        rows, n = numbered(rows, *order)
+        if not n:
             break
-        ids = rows.select(*[f"_{k}" for k in key])
-        emitted = ids if emitted is None else stable(emitted.unionByName(ids))
-        part = rows.select(*_TRACE)
-        out = part if out is None else out.unionByName(part)
-        found = rows.filter(F.col(to_obj).isNotNull() & F.col(to_col).isNotNull() & (F.col(to_col) != "*")).groupBy(F.col(to_obj).alias("o"), F.col(to_col).alias("c")).agg(F.min_by("path", "rn").alias("at"), F.min("rn").alias("rank"))
-        front = stable(found.join(seen, ["o", "c"], "left_anti"))
-        seen = stable(seen.unionByName(front.select("o", "c")))
-    if out is None:
-        return lin.limit(0).select(F.lit(0).alias("lvl"), *[c for c in _TRACE if c not in ("lvl", "path", "rn")], F.lit("").alias("path"), F.lit(0).alias("rn"))
-    return out
+        emitted.append(rows.select(*ids))
+        out.append(rows.select(*_TRACE))
+        ends = rows.filter(F.col(to_obj).isNotNull() & F.col(to_col).isNotNull() & (F.col(to_col) != "*")).select(F.col(to_obj).alias("o"), F.col(to_col).alias("c"), "path", "rn")
+        front = ends.groupBy("o", "c").agg(F.min_by("path", "rn").alias("at"), F.min("rn").alias("rank")).join(_union(seen), ["o", "c"], "left_anti")
+        seen.append(ends.select("o", "c").distinct())
+    if not out:
+        return lin.limit(0).select(F.lit(0).alias("lvl"), *shown, F.lit("").alias("path"), F.lit(0).cast("long").alias("rn"))
+    return _union(out)
 
 
 def lineage_tree(trace: DataFrame, name: str, column: str, direction: str = "UPSTREAM") -> DataFrame:

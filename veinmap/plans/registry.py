@@ -6,6 +6,7 @@ A query goes through the library's operators; its SQL computes the same from the
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,10 @@ from ..operators import columns as C
 from ..operators import deps, graph, jobs, reports, trace, views
 from ..sources import sinks
 from . import derived as D
+from . import shapes
+from .round_trips import ROUND_TRIPS
 from .run import build
+from .shapes import SHAPES
 
 FLAGSHIP = "g8_levels"
 _QUERIES: dict[str, tuple[Callable, str | None]] = {}
@@ -131,9 +135,12 @@ def br15_job_objects(spark, sf_dir):
     return _run(spark, sf_dir).job_objects
 
 
-@_query("SELECT source_node AS node, count(*) AS loops FROM (" + D.CYCLIC + ") e WHERE source_node = target_node GROUP BY source_node")
+_LOOPS = f"SELECT o_orderkey AS job_num, 'ALL' AS job_names, 'T_' || {D.text_of('o_custkey')} AS target_object, 'SQL: x' AS source_object, CAST(NULL AS VARCHAR(10)) AS unique_col, CAST(NULL AS VARCHAR(10)) AS filter_clause, 'insert into t_' || {D.text_of('o_custkey')} || ' select * from me.t_' || {D.text_of('o_custkey + o_orderkey % 3')} AS sql_stmt, CAST(NULL AS VARCHAR(10)) AS disabled_flag FROM {{orders}}"
+
+
+@_query("SELECT 'T_' || o_custkey AS node, count(*) AS loops FROM {orders} WHERE o_orderkey % 3 = 0 GROUP BY 1")
 def br16_self_loops(spark, sf_dir):
-    return D.frame(spark, sf_dir, D.CYCLIC).filter("is_self_loop = 'Y'").groupBy(F.col("source_node").alias("node")).agg(F.count(F.lit(1)).alias("loops"))
+    return _run(spark, sf_dir, _LOOPS, save_ast=False).edges.filter("is_self_loop = 'Y'").groupBy(F.col("source_node").alias("node")).agg(F.count(F.lit(1)).alias("loops"))
 
 
 @_query(f"""{_CTE}, s AS (SELECT * FROM b WHERE k % 7 <> 0), d AS (SELECT i FROM ({D.VIEW_NUMBERS}) n WHERE i % 4 <> 3)
@@ -253,12 +260,12 @@ def t2_token_function(spark, sf_dir):
 _VN = f"v AS (SELECT i, 'V_' || i || '_V' AS name FROM ({D.VIEW_NUMBERS}) n)"
 
 
-@_query(f"WITH RECURSIVE {_VN}, w AS (SELECT DISTINCT i, 0 AS lvl FROM v JOIN {{orders}} ON o_orderkey % 80 = i WHERE o_orderkey % 16 = 0 UNION SELECT v.i, w.lvl + 1 FROM w JOIN v ON v.i = w.i + 1 WHERE w.i % 8 <> 7) SELECT 'V_' || i || '_V' AS view_name, CAST(min(lvl) AS INT) AS capture_level FROM w GROUP BY i")
+@_query(f"WITH RECURSIVE {_VN}, w AS (SELECT DISTINCT i, 0 AS lvl FROM v JOIN {{orders}} ON o_orderkey % 80 = i UNION SELECT v.i, w.lvl + 1 FROM w JOIN v ON v.i = w.i + 1 WHERE w.i % 8 <> 7) SELECT 'V_' || i || '_V' AS view_name, CAST(min(lvl) AS INT) AS capture_level FROM w GROUP BY i")
 def g1_view_capture(spark, sf_dir):
     v = D.frame(spark, sf_dir, D.VIEWS)
     s = views.view_statements(v, "ME")
     read = read_statements(s.withColumn("columns", F.lit(None).cast("map<string,array<string>>")), False)
-    starts = D.frame(spark, sf_dir, f"SELECT DISTINCT 'V_' || {D.text_of('o_orderkey % 80')} || '_V' AS name FROM {{orders}} WHERE o_orderkey % 16 = 0")
+    starts = D.frame(spark, sf_dir, f"SELECT DISTINCT 'V_' || {D.text_of('o_orderkey % 80')} || '_V' AS name FROM {{orders}}")
     return views.capture(starts, v, views.view_refs(read, s, "ME"), None, "ME").select("view_name", "capture_level")
 
 
@@ -274,12 +281,12 @@ def g2_g3_view_edges(spark, sf_dir):
     return views.view_edges(every, views.view_refs(read, s, "ME"), depends, s).select("source_node", "target_node", "edge_origin")
 
 
-@_query(f"WITH RECURSIVE {_VN}, d AS (SELECT name AS n, 'V_' || (i + 1) || '_V' AS r, 'VIEW' AS t FROM v WHERE i % 8 <> 7 UNION ALL SELECT name, 'T_' || i, 'TABLE' FROM v), w AS (SELECT n AS root, n AS parent, r, t, 1 AS lvl FROM d WHERE n LIKE 'V_1%' UNION ALL SELECT w.root, d.n, d.r, d.t, w.lvl + 1 FROM w JOIN d ON d.n = w.r WHERE w.t = 'VIEW') SELECT root, repeat('  ', lvl - 1) || r || ' (' || t || ')' AS dependency_tree, CAST(lvl AS INT) AS depth, parent AS parent_view FROM w")
+@_query(f"WITH RECURSIVE {_VN}, d AS (SELECT name AS n, 'V_' || (i + 1) || '_V' AS r, 'VIEW' AS t FROM v WHERE i % 8 <> 7 UNION ALL SELECT name, 'T_' || i, 'TABLE' FROM v), w AS (SELECT n AS root, n AS parent, r, t, 1 AS lvl FROM d UNION ALL SELECT w.root, d.n, d.r, d.t, w.lvl + 1 FROM w JOIN d ON d.n = w.r WHERE w.t = 'VIEW') SELECT root, repeat('  ', lvl - 1) || r || ' (' || t || ')' AS dependency_tree, CAST(lvl AS INT) AS depth, parent AS parent_view FROM w")
 def r3_rp10_dependency_tree(spark, sf_dir):
     i = D.text_of("i")
     nxt = D.text_of("i + 1")
     found = D.frame(spark, sf_dir, f"SELECT 'ME' AS owner, 'V_' || {i} || '_V' AS name, 'VIEW' AS type, 'ME' AS referenced_owner, 'T_' || {i} AS referenced_name, 'TABLE' AS referenced_type FROM ({D.VIEW_NUMBERS}) n UNION ALL SELECT 'ME', 'V_' || {i} || '_V', 'VIEW', 'ME', 'V_' || {nxt} || '_V', 'VIEW' FROM ({D.VIEW_NUMBERS}) n WHERE i % 8 <> 7")
-    roots = found.select("name").filter("name like 'V_1%'").distinct()
+    roots = found.select("name").distinct()
     return views.dependency_tree(found, roots).select("root", "dependency_tree", "depth", "parent_view")
 
 
@@ -342,7 +349,7 @@ def g7_strong_components_by_joins(spark, sf_dir):
 def g8_levels(spark, sf_dir):
     e = D.frame(spark, sf_dir, D.DAG)
     g = graph.graph_edges(e)
-    place = graph.levels(g, graph.strong_components(g)).select(F.col("node").alias("node_name"), "dag_level", "in_cycle")
+    place = graph.places(g).select(F.col("node").alias("node_name"), "dag_level", "in_cycle")
     d = graph.degrees(e).select("node_name", R.node_class(F.col("in_degree"), F.col("out_degree")).alias("node_class"))
     return d.join(place, "node_name").select("node_name", "node_class", "dag_level", "in_cycle")
 
@@ -447,7 +454,7 @@ def rp2_intermediates(spark, sf_dir):
 def rp2_cycle_nodes(spark, sf_dir):
     e = D.frame(spark, sf_dir, D.CYCLIC)
     g = graph.graph_edges(e)
-    return graph.levels(g, graph.strong_components(g)).filter("in_cycle = 'Y'").select(F.col("node").alias("node_name"))
+    return graph.places(g).filter("in_cycle = 'Y'").select(F.col("node").alias("node_name"))
 
 
 _VIEWED = _DEPS.replace("SELECT job_num, depends_on_job, via_object, read_object, CAST(hops", "SELECT job_num, 'T_' || job_num AS consumer_target, depends_on_job, 'T_' || depends_on_job AS producer_target, via_object, read_object, CAST(hops")
@@ -535,16 +542,15 @@ def snk4_load_script(spark, sf_dir):
 @_query(f"""WITH e0 AS ({D.NATIONS}), e AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY job_num, source_node, target_node) AS n FROM (SELECT *, 'G' || (job_num % 4) AS g FROM e0 WHERE is_self_loop = 'N') z),
 ends AS (SELECT g, node, min((n - 1) * 2 + side) AS f FROM (SELECT g, n, 0 AS side, source_node AS node FROM e UNION ALL SELECT g, n, 1, target_node FROM e) x GROUP BY g, node),
 firsts AS (SELECT node, g, f, row_number() OVER (PARTITION BY node ORDER BY g, f) AS r FROM ends), ids AS (SELECT node, 'n' || (row_number() OVER (ORDER BY g, f) - 1) AS id FROM firsts WHERE r = 1),
-lines AS (SELECT DISTINCT g, -1.0 AS o, '' AS o2, 'flowchart LR' AS line FROM e UNION ALL SELECT g, f / 2 + (f % 2) * 0.1, '', '  ' || id || '["' || ends.node || '"]' FROM ends JOIN ids ON ids.node = ends.node
+lines AS (SELECT DISTINCT g, CAST(-1.0 AS DOUBLE) AS o, '' AS o2, 'flowchart LR' AS line FROM e UNION ALL SELECT g, f / 2 + (f % 2) * 0.1, '', '  ' || id || '["' || ends.node || '"]' FROM ends JOIN ids ON ids.node = ends.node
   UNION ALL SELECT g, (n - 1) + 0.9, '', '  ' || a.id || ' -->|' || job_num || ' LOAD_REPLACE| ' || b.id FROM e JOIN ids a ON a.node = source_node JOIN ids b ON b.node = target_node
   UNION ALL SELECT g, 1e9, ends.node, '  style ' || id || ' fill:#fff8e1,stroke:#f9a825' FROM ends JOIN ids ON ids.node = ends.node)
-SELECT g AS group_name, count(*) AS lines, sum(length(line)) AS chars FROM lines GROUP BY g""")
+SELECT g AS group_name, row_number() OVER (PARTITION BY g ORDER BY o, o2) AS line_no, line FROM lines""")
 def snk3_flowcharts(spark, sf_dir):
     e = D.frame(spark, sf_dir, D.NATIONS)
     groups = e.select("job_num", F.concat(F.lit("G"), (F.col("job_num") % 4).cast("string")).alias("group_name")).distinct()
     nodes = graph.node_names(e).withColumn("job_node_class", F.lit("INTERMEDIATE"))
-    f = sinks.flowcharts(e, groups, nodes)
-    return f.groupBy("group_name").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
+    return sinks.flowcharts(e, groups, nodes)
 
 
 @_query(f"{_NODES} SELECT 'jobs' AS item, count(*) AS n FROM {{orders}} UNION ALL SELECT 'active jobs', count(*) FROM {{orders}} WHERE {_ACTIVE} UNION ALL SELECT 'nodes', count(*) FROM nodes UNION ALL SELECT 'edges', count(*) FROM e UNION ALL SELECT 'nodes in cycles', 0 UNION ALL SELECT 'class ' || node_class, count(*) FROM nodes GROUP BY node_class")
@@ -553,6 +559,22 @@ def snk6_a12_summary(spark, sf_dir):
     return sinks.summary(j, _dag_nodes(spark, sf_dir), D.frame(spark, sf_dir, D.DAG))
 
 
-@_query(f"{_CTE}, e AS ({_EDGES}), o AS ({_OBJECTS}), n AS (SELECT source_node AS x FROM e UNION SELECT target_node FROM e UNION SELECT object_name FROM o) SELECT 'COMPLETED' AS status, (SELECT count(*) FROM j) AS rows_read, (SELECT count(*) FROM b) AS rows_active, (SELECT count(*) FROM j WHERE NOT active) AS rows_disabled, (SELECT count(*) FROM b WHERE k % 7 = 0) AS sql_parsed, (SELECT count(*) FROM b WHERE kind = 35) AS sql_fallback, CAST(0 AS BIGINT) AS views_captured, (SELECT count(*) FROM n) AS node_count, (SELECT count(*) FROM e) AS edge_count")
+@_query(f"{_CTE}, e AS ({_EDGES}), o AS ({_OBJECTS}), n AS (SELECT source_node AS x FROM e UNION SELECT target_node FROM e UNION SELECT object_name FROM o) SELECT 'COMPLETED' AS status, (SELECT count(*) FROM j) AS rows_read, (SELECT count(*) FROM b) AS rows_active, (SELECT count(*) FROM j WHERE NOT active) AS rows_disabled, (SELECT count(*) FROM b WHERE k % 7 = 0 AND kind <> 35) AS sql_parsed, (SELECT count(*) FROM b WHERE kind = 35) AS sql_fallback, CAST(0 AS BIGINT) AS views_captured, (SELECT count(*) FROM n) AS node_count, (SELECT count(*) FROM e) AS edge_count")
 def rp1_a12_run_counters(spark, sf_dir):
     return _run(spark, sf_dir, save_ast=False).run_row().drop("run_id", "run_label", "message", "started_at", "finished_at")
+
+
+# -- statements of many shapes; round trips through files, tables, saved runs and streams
+for _name in SHAPES:
+    _QUERIES[_name] = (partial(lambda spark, sf_dir, name: shapes.said(spark, sf_dir, name), name=_name), shapes.said_sql(_name))
+for _name, (_query_of, _sql) in ROUND_TRIPS.items():
+    _QUERIES[_name] = (_query_of, _sql.replace("{cte}", _CTE).replace("{edges}", _EDGES))
+
+
+@_query("SELECT o_orderkey AS job_num, node_id, node_type, node_name FROM {orders}, (VALUES (1, 'STATEMENT', NULL), (2, 'QUERY', NULL), (3, 'SELECT', NULL), (4, 'SELECT_LIST', NULL), (5, 'SELECT_ITEM', 'X'), (6, 'EXPR', NULL), (7, 'COLUMN_REF', 'X'), (8, 'FROM', NULL), (9, 'TABLE_REF', 'T')) v(node_id, node_type, n0), LATERAL (SELECT CASE n0 WHEN 'T' THEN 'T_' || o_custkey ELSE n0 END AS node_name) z")
+def q21_parse_tree_function(spark, sf_dir):
+    from ..functions.reading import register_functions
+
+    register_functions(spark)
+    o = D.frame(spark, sf_dir, f"SELECT o_orderkey AS job_num, 'select x from t_' || {D.text_of('o_custkey')} AS s FROM {{orders}}")
+    return spark.sql("SELECT job_num, t.node_id, t.node_type, t.node_name FROM {o}, LATERAL sql_parse_tree(s) t", o=o)

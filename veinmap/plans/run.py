@@ -22,7 +22,8 @@ class Lineage:
 
     views (owner, view_name, text); columns (owner, table_name, column_name, column_id); synonyms (owner, synonym_name, table_owner,
     table_name, db_link); objects (owner, object_name, object_type); dependencies (owner, name, type, referenced_owner,
-    referenced_name, referenced_type, referenced_link_name). All but the jobs are optional.
+    referenced_name, referenced_type, referenced_link_name). All but the jobs are optional. ``owner`` is the schema that plain
+    names belong to: the session's current one unless given.
     """
 
     source: DataFrame
@@ -41,7 +42,7 @@ class Lineage:
     driver_edges: int = graph.DRIVER_EDGES
 
     def __post_init__(self) -> None:
-        self.owner = self.owner.upper() if self.owner else None
+        self.owner = (self.owner or self.source.sparkSession.catalog.currentDatabase()).upper()
         self.started = datetime.now(timezone.utc)
 
     @cached_property
@@ -163,32 +164,15 @@ class Lineage:
         spark = self.source.sparkSession
         counts = [None] * 8
         if status == "COMPLETED":
-            j, p = self.jobs.agg(F.count(F.lit(1)), F.count_if(F.col("is_active") == "Y"), F.count_if(F.col("parse_status") == "FALLBACK")).first(), self.parses.filter("source_kind = 'JOB_SQL'").count()
+            read = F.col("parse_status")
+            j = self.jobs.agg(F.count(F.lit(1)), F.count_if(F.col("is_active") == "Y"), F.count_if(read.isin("OK", "PARTIAL")), F.count_if(read == "FALLBACK")).first()
             v = self.captured.count() if self.captured is not None else 0
-            counts = [j[0], j[1], j[0] - j[1], p, j[2], v, self.nodes.count(), self.edges.count()]
-        row = (self.run_id, self.label, status, message, self.started, datetime.now(timezone.utc), *counts)
+            counts = [j[0], j[1], j[0] - j[1], j[2], j[3], v, self.nodes.count(), self.edges.count()]
+        finished = None if status == "RUNNING" else datetime.now(timezone.utc)
+        row = (self.run_id, self.label, status, message, self.started, finished, *counts)
         return spark.createDataFrame([row], "run_id long, run_label string, status string, message string, started_at timestamp, finished_at timestamp, rows_read long, rows_active long, rows_disabled long, sql_parsed long, sql_fallback long, views_captured long, node_count long, edge_count long")
 
 
 def build(source: DataFrame, **options) -> Lineage:
     """A run over a job table; see ``Lineage`` for the options."""
     return Lineage(source, **options)
-
-
-def run_and_save(lineage: Lineage, path: str) -> DataFrame:
-    """Write every frame, then the run's row; a run that fails leaves a row FAILED and none of its counts."""
-    from ..sources.sinks import save_run
-
-    try:
-        save_run(lineage.frames(), path, lineage.run_id)
-        row = lineage.run_row()
-    except Exception as problem:
-        lineage.run_row("FAILED", str(problem)[:4000]).write.mode("append").parquet(f"{path}/runs")
-        raise
-    row.write.mode("append").parquet(f"{path}/runs")
-    return row
-
-
-def latest_run(runs: DataFrame) -> DataFrame:
-    """The id of the last completed run (one row, null if there is none)."""
-    return runs.filter("status = 'COMPLETED'").agg(F.max("run_id").alias("run_id"))

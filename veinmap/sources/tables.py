@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import clean_cell, filled
+from ..functions.sqltext import tokenize
 from ..operators.jobs import JOB_COLUMNS
 
-SHEET_ROWS = 100_000
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
@@ -62,15 +64,46 @@ def _cells(data: bytes) -> list[list[str | None]]:
         return rows
 
 
-def read_jobs_workbook(spark: SparkSession, path: str, rows: int = SHEET_ROWS) -> DataFrame:
-    """A job table in the first sheet of an .xlsx workbook: header row first, at most ``rows`` rows (a sheet has a bound)."""
+def read_jobs_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """A job table in the first sheet of an .xlsx workbook (a format of about a million rows at most): header row first, blank rows passed by."""
     from pyspark.sql.types import StringType, StructField, StructType
 
     data = spark.read.format("binaryFile").load(path).select("content").first()[0]
     head, *body = _cells(bytes(data))
     width = len(head)
     fields = StructType([StructField(str(h), StringType()) for h in head])
-    return _jobs(spark.createDataFrame([tuple((r + [None] * width)[:width]) for r in body[:rows] if r and r[0]], fields))
+    return _jobs(spark.createDataFrame([tuple((r + [None] * width)[:width]) for r in body if any(r)], fields))
+
+
+def load_into_table(jobs: DataFrame, name: str, truncate: bool = True) -> None:
+    """Put a job table into a table of the catalogue, made if it isn't there; ``truncate`` empties it first."""
+    _table_name(name)
+    jobs.write.mode("overwrite" if truncate else "append").saveAsTable(name)
+
+
+def jobs_of_script(statements: DataFrame) -> DataFrame:
+    """The jobs of INSERT statements (statement) as ``load_script`` writes them: literals in the order of the job columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [literals(s) for s in b.column("statement").to_pylist()]
+            yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], pa.string()) for i, c in enumerate(JOB_COLUMNS)})
+
+    return _jobs(statements.select("statement").mapInArrow(run, ", ".join(f"{c} string" for c in JOB_COLUMNS)))
+
+
+def literals(statement: str) -> list[str | None]:
+    """Values of an INSERT, as many as there are job columns."""
+    out: list[str | None] = []
+    tokens = tokenize(statement)
+    start = next((i for i, t in enumerate(tokens) if t.key == "VALUES"), len(tokens))
+    for t in tokens[start:]:
+        if t.kind == "STR":
+            quoted = t.text[0] in "qQ"
+            out.append(t.text[3:-2] if quoted else t.text[1:-1].replace("''", "'"))
+        elif t.kind == "NUM" or t.key == "NULL":
+            out.append(t.text if t.kind == "NUM" else None)
+    return (out + [None] * len(JOB_COLUMNS))[: len(JOB_COLUMNS)]
 
 
 def read_views_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -82,11 +115,15 @@ def read_views_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(filled(F.upper(F.trim(owner))).alias("owner"), F.upper(F.trim(f"`{names['view_name']}`")).alias("view_name"), F.coalesce(*text).alias("text")).filter("view_name is not null")
 
 
-def read_jobs_table(spark: SparkSession, name: str) -> DataFrame:
-    """A job table of the catalogue; the name is checked to be one."""
+def _table_name(name: str) -> str:
     if not re.fullmatch(r"[A-Za-z_][\w$#]*(\.[A-Za-z_][\w$#]*){0,2}", name):
         raise ValueError(f"not a table name: {name}")
-    return spark.table(name)
+    return name
+
+
+def read_jobs_table(spark: SparkSession, name: str) -> DataFrame:
+    """A job table of the catalogue; the name is checked to be one."""
+    return spark.table(_table_name(name))
 
 
 def catalog_columns(spark: SparkSession, database: str) -> DataFrame:

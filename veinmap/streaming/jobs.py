@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.run import Lineage, build, run_and_save
+from ..plans.run import Lineage, build
+from ..plans.saved import run_and_save
 
 
 def current_jobs(changes: DataFrame) -> DataFrame:
@@ -20,8 +21,8 @@ def current_jobs(changes: DataFrame) -> DataFrame:
 def follow(changes: DataFrame, log: str, path: str, checkpoint: str, each: Callable[[Lineage], None] | None = None, **options) -> StreamingQuery:
     """Append each micro-batch of changes to ``log`` and rebuild the run from its current jobs below ``path``.
 
-    A batch's run has the batch's number, so a batch that is repeated after a failure is recognised by
-    its log partition, which it overwrites.
+    A batch's run has the batch's number, so a batch that is repeated after a failure overwrites its part of the log
+    and its run.
     """
 
     def rebuild(batch: DataFrame, number: int) -> None:
