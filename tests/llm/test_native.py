@@ -152,7 +152,7 @@ def test_revisits_with_names_as_crawlers_spell_them(spark):
     assert got == {2: (1, "resolved", {"etag": 'W/"1"', "cache-control": "new", "server": "s"}), 4: (3, "resolved", {"last-modified": "m"})}
 
 
-def test_revisits(spark):
+def test_revisits(spark, monkeypatch):
     rows = [
         (1, "response", "HTTP://Ex.org:80/a/?b=2&a=1&utm_source=x#f", 10, 200, {"etag": '"1"', "server": "s", "date": "d1"}, "p1", None),
         (2, "response", "https://ex.org/a?a=1&b=2", 20, 500, {"etag": '"2"'}, "p2", None),
@@ -170,8 +170,9 @@ def test_revisits(spark):
         (14, "revisit", "ex.org/tie", 6, 304, {"etag": "b"}, None, None),
     ]
     df = spark.createDataFrame(rows, RECORDS)
-    for slot in (1, 7, 4096, 10**9):
-        got = {r.record_id: (r.response_id, r.status, r.headers, r.payload) for r in V.resolve_revisits(df, slot).collect()}
+    for parts in (1, 3, 16):
+        monkeypatch.setattr(V, "shuffle_parts", lambda spark, n=parts: n)
+        got = {r.record_id: (r.response_id, r.status, r.headers, r.payload) for r in V.resolve_revisits(df).collect()}
         assert got == {
             3: (1, "resolved", {"etag": 'W/"1"', "server": "s", "date": "d3"}, "p1"),
             4: (None, "no_capture", {"etag": '"1"'}, None),
@@ -181,6 +182,10 @@ def test_revisits(spark):
             8: (None, "no_capture", {}, None),
             11: (10, "resolved", {"last-modified": "m"}, "p10"),
             14: (13, "resolved", {"etag": "b"}, "p13"),
-        }, slot
+        }, parts
     assert V.resolve_revisits(df.limit(0)).count() == 0
+    hot = spark.createDataFrame([(i, "response" if i % 4 == 0 else "revisit", "ex.org/hot", i, 200, {"etag": "e"}, f"p{i}", None) for i in range(1, 4001)], RECORDS)
+    monkeypatch.setattr(V, "shuffle_parts", lambda spark: 7)
+    got = {r.record_id: (r.response_id, r.payload) for r in V.resolve_revisits(hot).collect()}
+    assert got == {i: (i - i % 4, f"p{i - i % 4}") if i > 4 else (None, None) for i in range(1, 4001) if i % 4}
     assert V.resolve_revisits(df.union(df.filter("record_id = 3"))).filter("record_id = 3").count() == 2

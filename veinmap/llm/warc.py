@@ -6,9 +6,11 @@ entity tags by weak comparison where both have one, else Last-Modified dates whe
 common validator it isn't confirmed. A resolved revisit carries the stored response's headers, updated by those
 that a not-modified answer may replace (``PERMITTED``); all others stay as stored.
 
-All of it is native. The as-of join runs in two levels, so that no URL, however often captured, lands in
-one task: captures are windowed per (URL, time slot), the last response of each slot is carried over
-a window of slots per URL, whose rows are as few as the slots. ``slot`` is a width in the unit of ``at``.
+All of it is native. Records are canonicalised once and written with a row number each. The as-of join moves only (row,
+canonical, at, record_id): these are dealt by range of (canonical, at), so that a URL, however often captured, spreads over as
+many partitions as it fills. Within a partition the last response before a revisit comes from a window of
+the URL's rows there; what earlier partitions held is carried over a window of one row for each partition of a URL. Headers
+and payloads are joined to what was found, by row number.
 
 Canonical URL: scheme dropped, host in lower case without default port, fragment dropped, query
 without ``DROPPED`` parameters and sorted, path without a trailing slash.
@@ -25,13 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import kept_table, let, shuffle_parts
 
 # Query parameters that don't name another resource, and headers that a
 # not-modified answer may replace.
 DROPPED = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref")
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
-SLOT = 4096
 
 
 def canonical_url(url: Column) -> Column:
@@ -58,7 +59,7 @@ def lower_names(headers: Column) -> Column:
     return F.when(F.forall(F.map_keys(headers), lambda k: k == F.lower(k)), headers).otherwise(let(F.array_sort(entries), one_each))
 
 
-def resolve_revisits(records: DataFrame, slot: int = SLOT) -> DataFrame:
+def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row per revisit: record_id, canonical, at, response_id, status, headers, payload.
 
     ``status`` is resolved, mismatch (validators differ), unconfirmed (none in common) or no_capture;
@@ -66,30 +67,31 @@ def resolve_revisits(records: DataFrame, slot: int = SLOT) -> DataFrame:
     """
     none = F.create_map().cast("map<string,string>")
     r = records.select(
+        F.monotonically_increasing_id().alias("row"),
         "record_id",
-        "kind",
+        (F.col("kind") == "revisit").alias("revisit"),
         canonical_url(F.col("url")).alias("canonical"),
         F.col("at").cast("long").alias("at"),
         lower_names(F.coalesce("headers", none)).alias("headers"),
         "payload",
         F.coalesce((F.col("kind") == "response") & (F.col("status") == 200), F.lit(False)).alias("full"),
-    ).withColumn("slot", F.floor(F.col("at") / slot).cast("long"))
-    usable = F.col("canonical").isNotNull() & F.col("at").isNotNull()
-    stored = F.when(F.col("full") & usable, F.struct("at", F.col("record_id").alias("id"), "headers", "payload"))
-    r = r.withColumn("stored", stored)
-    # last capture of each slot, then of all slots before
-    ends = r.filter("full").groupBy("canonical", "slot").agg(F.max_by("stored", F.struct("at", "record_id")).alias("ended"))
-    asked = r.filter("kind = 'revisit'").select("canonical", "slot").distinct()
-    before = Window.partitionBy("canonical").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        ends.join(asked, ["canonical", "slot"], "full_outer")
-        .withColumn("carried", F.last("ended", ignorenulls=True).over(before))
-        .select("canonical", "slot", "carried")
     )
-    # in a slot: earlier times only, so a time's own responses come after its revisits
-    inside = Window.partitionBy("canonical", "slot").orderBy("at", F.col("full").cast("int"), "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    found = r.filter(F.col("full") | (F.col("kind") == "revisit")).withColumn("inside", F.last("stored", ignorenulls=True).over(inside)).filter("kind = 'revisit'")
-    found = found.join(carried, ["canonical", "slot"], "left").withColumn("hit", F.when(usable, F.coalesce("inside", "carried")))
+    r = kept_table(r.filter("revisit or full"), "records")
+    order = ["canonical", "at", F.col("full").cast("int"), "record_id", "row"]  # a time's own responses come after its revisits
+    narrow = r.filter("canonical is not null and at is not null").select("row", "record_id", "canonical", "at", "full")
+    dealt = kept_table(narrow.repartitionByRange(shuffle_parts(records.sparkSession), *order).withColumn("part", F.spark_partition_id()), "dealt")
+    capture = F.struct("at", "record_id", "row")
+    # the last response that each partition holds of a URL, and that of all partitions before
+    ends = dealt.filter("full").groupBy("canonical", "part").agg(F.max(capture).alias("ended"))
+    asked = dealt.filter("not full").select("canonical", "part").distinct()
+    before = Window.partitionBy("canonical").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.join(asked, ["canonical", "part"], "full_outer").withColumn("carried", F.last("ended", ignorenulls=True).over(before)).select("canonical", "part", "carried")
+    carried = kept_table(carried.filter("carried is not null"), "carried")
+    inside = Window.partitionBy("part", "canonical").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = dealt.withColumn("inside", F.last(F.when(F.col("full"), capture), ignorenulls=True).over(inside)).filter("not full").join(carried, ["canonical", "part"], "left")
+    found = found.select("row", F.coalesce("inside", "carried").alias("hit")).filter("hit is not null").select("row", F.col("hit.row").alias("hit_row"), F.col("hit.record_id").alias("id"))
+    stored = r.filter("full").select(F.col("row").alias("hit_row"), F.struct("headers", "payload").alias("stored"))
+    found = r.filter("revisit").drop("payload").join(found, "row", "left").join(stored, "hit_row", "left").withColumn("hit", F.when(F.col("hit_row").isNotNull(), F.struct("id", "stored.headers", "stored.payload")))
     h, old = F.col("headers"), F.col("hit.headers")
     tags = h["etag"].isNotNull() & old["etag"].isNotNull()
     dates = h["last-modified"].isNotNull() & old["last-modified"].isNotNull()
