@@ -4,12 +4,22 @@ Base kinds ``assign access hex`` come from patterns (matches that fail their len
 battery looks at every other opaque run of ``MIN_RUN`` characters or more, split at inner ``=`` (names
 and values) and, where no encoding holds a part, at ``+ /`` and at ``- _`` in turn: it infers the
 encoding (decimal, hex, base32, base64), maps the characters to symbols and takes three statistics against
-a uniform source: chi-squared over the alphabet, a runs test about the median, and lag-one serial
-correlation. Not failing them is weak evidence for a short string, so the evidence against
-"ordinary text" is a likelihood ratio: uniform symbols against a first-order model of
-words and identifiers (runs in capitals are read as small letters too, and the more ordinary reading counts), whose p-value is at most 1 / ratio, and shrinks with the length. Per
-document the p-values of all candidates go through the Benjamini-Hochberg rule at ``RATE``; those
-that pass it and the battery become spans of the kind ``entropy``; of two that overlap, the one of more evidence.
+a uniform source: chi-squared over the alphabet, the number of runs about the median, and lag-one serial correlation.
+
+Short strings have no use for limit laws. The runs test is exact; chi-squared and serial correlation of strings with fewer than
+``EXACT`` symbols a letter of the alphabet take their tails from ``DRAWS`` uniform strings of the same length, with a fixed
+seed, longer ones from the limit laws. The battery's p-value is three times the least of the three (at most 1), valid whatever
+their dependence.
+
+Both kinds of error are held by the Benjamini-Hochberg rule over the candidates of a document, whose p-values know the length:
+
+* "Ordinary text" is the first hypothesis: the likelihood ratio of uniform symbols against a first-order model of words and identifiers
+  (runs in capitals are read as small letters too, and the more ordinary reading counts) has a p-value of 1 / ratio at most, which shrinks
+  with the length. At ``RATE`` it holds the share of ordinary strings among what is found.
+* "Uniform source" is the second: candidates whose battery rejects it, at ``ALPHA`` over those that passed the first, aren't
+  secrets, and the share of true secrets among these is held.
+
+What passes both becomes a span of the kind ``entropy``; of two that overlap, the one of more evidence.
 
 Defined results: null and empty texts have no spans; texts are searched whole; every row is judged by
 itself (ties, repeats, empty tables and extra columns change nothing).
@@ -22,6 +32,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +50,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 MIN_RUN = 20
 RATE = 1e-3
-ALPHA = 1e-4
+ALPHA = 1e-3
+EXACT, DRAWS = 5, 4000
 OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 
 # Inferred encodings from narrow to wide, each with its symbols in order.
@@ -118,31 +130,76 @@ def _normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def _chi_squared(x: np.ndarray, k: int) -> np.ndarray:
+    """Chi-squared against even counts of k symbols, for each row of symbols."""
+    rows, n = x.shape
+    counts = np.bincount((x + np.arange(rows)[:, None] * k).ravel(), minlength=rows * k).reshape(rows, k)
+    return (counts.astype(np.int64) ** 2).sum(axis=1) * k / n - n
+
+
+def _serial(x: np.ndarray) -> np.ndarray:
+    """Lag-one serial correlation of each row, 1 for a constant one."""
+    d = x - x.mean(axis=1, keepdims=True)
+    s = (d * d).sum(axis=1)
+    return np.where(s > 0, (d[:, 1:] * d[:, :-1]).sum(axis=1) / np.where(s > 0, s, 1.0), 1.0)
+
+
+@lru_cache(4096)
+def _drawn(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted chi-squared values and serial correlations' distances from their mean, of uniform strings of n symbols out of k."""
+    x = np.random.default_rng([n, k]).integers(0, k, (DRAWS, n))
+    return np.sort(_chi_squared(x, k)), np.sort(np.abs(_serial(x) + 1 / n))
+
+
+def _above(drawn: np.ndarray, value: float) -> float:
+    """Share of draws at or above a value, the value itself counted as one of them."""
+    return (len(drawn) - int(np.searchsorted(drawn, value - 1e-9)) + 1) / (len(drawn) + 1)
+
+
+@lru_cache(1 << 14)
+def runs_tail(n1: int, n2: int, runs: int) -> float:
+    """Two-sided exact p-value of the number of runs of n1 and n2 symbols of two kinds: all outcomes that are no more likely."""
+    if not n1 or not n2:
+        return 1.0
+    ways = {}
+    for r in range(2, 2 * min(n1, n2) + 2):
+        h = r // 2
+        ways[r] = 2 * math.comb(n1 - 1, h - 1) * math.comb(n2 - 1, h - 1) if r % 2 == 0 else math.comb(n1 - 1, h) * math.comb(n2 - 1, h - 1) + math.comb(n1 - 1, h - 1) * math.comb(n2 - 1, h)
+    return min(1.0, sum(w for w in ways.values() if w <= ways[runs]) / math.comb(n1 + n2, n1))
+
+
 def battery(run: str, alphabet: str) -> tuple[float, float, float]:
-    """p-values of uniformity (chi-squared, upper tail), runs about the median, and serial correlation."""
+    """p-values of a uniform source: chi-squared (upper tail), runs about the median (with the number above it), serial correlation."""
     body = run.rstrip("=")
     place = {c: i for i, c in enumerate(alphabet)}
-    x = np.array([place[c] for c in body])
-    n, k = len(x), len(alphabet)
-    expected = n / k
-    chi = float(((np.bincount(x, minlength=k) - expected) ** 2 / expected).sum())
-    df = k - 1
-    z = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))  # Wilson and Hilferty
-    uniform = 0.5 * math.erfc(z / math.sqrt(2))
-    high = x >= k // 2
+    x = np.array([[place[c] for c in body]])
+    n, k = x.shape[1], len(alphabet)
+    chi, serial = float(_chi_squared(x, k)[0]), float(abs(_serial(x)[0] + 1 / n))
+    high = x[0] >= k // 2
     n1, n2 = int(high.sum()), int(n - high.sum())
-    if n1 and n2:
-        runs = 1 + int((high[1:] != high[:-1]).sum())
-        mean, var = 2 * n1 * n2 / n + 1, 2 * n1 * n2 * (2 * n1 * n2 - n) / (n * n * max(n - 1, 1))
+    runs = 1 + int((high[1:] != high[:-1]).sum())
+    if n < EXACT * k:
+        drawn_chi, drawn_serial = _drawn(n, k)
+        uniform, p_serial = _above(drawn_chi, chi), _above(drawn_serial, serial)
+    else:
+        df = k - 1
+        z = ((max(chi, 0.0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))  # Wilson and Hilferty
+        uniform, p_serial = 0.5 * math.erfc(z / math.sqrt(2)), _normal_tail(serial * math.sqrt(n))
+    if n < EXACT * 64:
+        p_runs = runs_tail(n1, n2, runs) if n1 and n2 else 2.0 ** (1 - n)
+    elif n1 and n2:
+        mean, var = 2 * n1 * n2 / n + 1, 2 * n1 * n2 * (2 * n1 * n2 - n) / (n * n * (n - 1))
         p_runs = _normal_tail((runs - mean) / math.sqrt(var)) if var > 0 else 1.0
     else:
         p_runs = 2.0 ** (1 - n)
-    d = x - x.mean()
-    s = float((d * d).sum())
-    p_serial = _normal_tail((float((d[1:] * d[:-1]).sum()) / s + 1 / n) * math.sqrt(n)) if s > 0 else 0.0
     return uniform, p_runs, p_serial
 
 
+def battery_p(run: str, alphabet: str) -> float:
+    """The battery's p-value of a uniform source, above zero."""
+    return min(1.0, max(3 * min(battery(run, alphabet)), 1e-300))
+
+
 def log_ratio(run: str, alphabet: str) -> float:
     """Log-likelihood of uniform symbols over that of ordinary text."""
     body = run.rstrip("=")
@@ -196,8 +253,9 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
                 tries.append((a, b, text[a:b], alphabet))
     if tries:
         logp = [-log_ratio(r, al) for _, _, r, al in tries]
-        keep = false_discovery(logp)
-        passed = sorted((p, a, b) for (a, b, r, al), p, k in zip(tries, logp, keep, strict=True) if k and min(battery(r, al)) > ALPHA)
+        likely = [(p, t) for p, t, k in zip(logp, tries, false_discovery(logp), strict=True) if k]
+        even = false_discovery([math.log(battery_p(r, al)) for _, (_, _, r, al) in likely], ALPHA)
+        passed = sorted((p, a, b) for (p, (a, b, _, _)), rejected in zip(likely, even, strict=True) if not rejected)
         out += [("entropy", a, b) for a, b in _strongest(passed)]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
