@@ -17,7 +17,8 @@ from veinmap.llm.quality import apply_quality
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that every quality rule accepts."""
+    """Documents that every quality rule accepts, row by row: repeated rows and ids fare alike, null and blank texts are
+    rejected as too short, an empty table gives an empty one; all columns stay as they are."""
     return apply_quality(docs)
 
 
@@ -25,8 +26,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near duplicates: that of the smallest id (then the smallest text hash).
 
     Groups go by the component's root, since several may share their smallest id or have none. Rows are told
-    apart by id and text hash; of rows equal in both, one stays. Documents without words aren't
-    duplicates of anything and stay.
+    apart by id and text hash, a null id counting as the smallest; of rows equal in both, any one stays, as they are
+    duplicates whatever their other columns hold. Documents without words aren't duplicates of anything and all
+    stay. An empty table gives an empty one.
     """
     found = near_texts(docs)
     alone = F.col("node").isNull()
@@ -41,13 +43,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by the name of its kind."""
+    """All documents, with personal data replaced by the name of its kind, row by row; null texts stay null, and
+    ``n_chars`` follows the text. Ties, repeated rows and an empty table need no rule."""
     out = redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4096 ids."""
+    """Pieces of sequences of at most 4096 ids, in the order of the ids, null ids first and equal ones by text hash; a null text is its
+    end id alone, repeated rows are packed as often as they occur, an empty table gives no piece."""
     return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 

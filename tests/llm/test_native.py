@@ -1,6 +1,7 @@
 """Quality rules, personal data and revisits: native operators against plain Python and SQL."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -39,15 +40,32 @@ def test_quality_verdicts(spark):
 
 def test_quality_order_never_changes_a_verdict(odd_docs, monkeypatch):
     a = {(r.doc_id, r.kept) for r in Q.quality_report(odd_docs).collect()}
-    monkeypatch.setattr(Q, "order_rules", lambda docs, text="text", rules=None: [{"rule": r} for r in reversed(Q.RULES)])
-    assert {(r.doc_id, r.kept) for r in Q.quality_report(odd_docs).collect()} == a
-
-
-def test_quality_order_is_by_rejection_per_cost(odd_docs, no_docs):
-    got = Q.order_rules(odd_docs)
-    score = [x["rate"] / x["cost"] for x in got]
-    assert score == sorted(score, reverse=True) and {x["rule"].name for x in got} == {r.name for r in Q.RULES}
+    kept = Counter(r.doc_id for r in Q.apply_quality(odd_docs).collect())
+    for k in range(len(Q.RULES)):
+        monkeypatch.setattr(Q, "order_rules", lambda docs, text="text", rules=None, k=k: [{"rule": r} for r in Q.RULES[k:] + Q.RULES[:k][::-1]])
+        assert {(r.doc_id, r.kept) for r in Q.quality_report(odd_docs).collect()} == a
+        assert Counter(r.doc_id for r in Q.apply_quality(odd_docs).collect()) == kept
+
+
+def test_quality_order_is_by_rejection_per_cost(spark, odd_docs, no_docs):
+    cost = {"words": 0, "n_words": -3, "word_chars": -1, "n_repeat_words": 0, "n_symbols": -1, "n_letters": -1, "lines": -1}
+    hits = [frozenset(["symbols", "too_short"])] * 10 + [frozenset(["letters"])] * 4 + [frozenset(["symbols"])] * 3 + [frozenset()] * 83
+    got = [x["rule"].name for x in Q.greedy(Q.RULES, hits, cost)]
+    # after the symbols rule nothing is left that the short rule would reject
+    assert got[:2] == ["symbols", "letters"] and set(got) == {r.name for r in Q.RULES}
     assert len(Q.order_rules(no_docs)) == len(Q.RULES)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", "river", "of", "words", "%%%%", "x1"]) for _ in range(rng.choice([5, 80, 400]))) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    rates = [[(x["rule"].name, round(x["rate"], 6)) for x in sorted(Q.order_rules(docs), key=lambda x: x["rule"].name)] for _ in range(2)]
+    assert sum(r for _, r in rates[0]) > 0
+
+
+def test_quality_stops_at_the_first_rejection(spark):
+    boom = Q.Rule("boom", ("n_symbols",), lambda s: F.raise_error(F.lit("reached")).cast("boolean"))
+    df = spark.createDataFrame([(1, "short"), (2, None)], "doc_id long, text string")
+    reason = Q.cascade(F.coalesce("text", F.lit("")), [Q.RULES[0], boom])
+    assert {r.why for r in df.select(reason.alias("why")).collect()} == {"too_short"}
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
