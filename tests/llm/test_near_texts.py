@@ -84,9 +84,56 @@ def test_every_similar_pair_shares_a_key():
                 b = np.unique(np.append(b, rng.integers(0, int(a.max()) + 1, dtype=np.uint64)))
         common = len(np.intersect1d(a, b))
         if 100 * common >= 80 * (len(a) + len(b) - common) and (len(a) != len(b) or common != len(a)):
-            ka, kb = N.all_signatures(a), N.all_signatures(b)
-            shared = set((ka >> np.uint64(1)).tolist()) & set((kb >> np.uint64(1)).tolist())
-            assert shared, (len(a), len(b), common)
+            for cost in (None, rng.integers(0, 9, N.SLOTS).astype(np.int8)):
+                ka, kb = N.all_signatures(a, cost=cost), N.all_signatures(b, cost=cost)
+                shared = set((ka >> np.uint64(1)).tolist()) & set((kb >> np.uint64(1)).tolist())
+                assert shared, (len(a), len(b), common)
+
+
+def test_long_lists_are_left_out():
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 1 << 58, 20, dtype=np.uint64)  # a passage whose hashes lie in one part of the universe
+    sets = [np.unique(np.concatenate([common, rng.integers(1 << 60, (1 << 64) - 1, 400, dtype=np.uint64)])) for _ in range(300)]
+    cost = N.classes(N.counted(sets, 80))
+    shared = lambda cost: sum(len(x) - len(set(x)) for x in [np.concatenate([N.all_signatures(s, cost=cost) for s in sets]).tolist()])
+    assert cost.max() > 0 and shared(cost) < shared(None)
+    assert N.classes(np.zeros(N.SLOTS, np.int64)).max() == 0
+
+
+def test_buckets_of_equal_hash_are_compared(monkeypatch):
+    rng = np.random.default_rng(5)
+    key = (rng.integers(0, 60, 400).astype(np.uint64) << np.uint64(1)) | rng.integers(0, 2, 400).astype(np.uint64)
+    who = rng.integers(0, 12, 400)
+    plain = {}
+    for k, w in zip(key.tolist(), who.tolist(), strict=True):
+        plain.setdefault(k >> 1, {}).setdefault(w, True)
+        plain[k >> 1][w] &= bool(k & 1)
+    want = {frozenset((w, not probe) for w, probe in m.items()) for m in plain.values() if len(m) > 1 and not all(m.values())}
+
+    def got():
+        out, at = [], 0
+        b, w, own = N.buckets_of(key, who)
+        ends = [*(np.flatnonzero(np.diff(w) <= 0) + 1).tolist(), len(w)]  # members ascend within a bucket
+        for e in ends:
+            out.append(frozenset(zip(w[at:e].tolist(), own[at:e].tolist(), strict=True)))
+            at = e
+        return out
+
+    found = got()
+    assert len(found) == len(want) and set(found) == want
+    monkeypatch.setattr(N, "mix", lambda x: x & np.uint64(0))  # all hashes equal
+    assert set(got()) == want
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[(i.bit_count() + flip) & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [256, 257, 1024, 2048, 4096])
+def test_words_that_a_polynomial_confuses(n):
+    tail = " p q r s"
+    a, b = shingle_sets(pa.array([thue_morse(n, 0) + tail, thue_morse(n, 1) + tail]))
+    assert len(a) == len(b) == 1 and a[0] != b[0]
 
 
 def test_sketch_distance_is_a_lower_bound():
@@ -109,6 +156,7 @@ def test_sets_of_slices_and_long_words():
 
 def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 4)
+    monkeypatch.setattr(N, "KEYS_AT_ONCE", 500)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(120)]
     texts = [" ".join(edited(rng, base, rng.randrange(8))) for _ in range(60)]

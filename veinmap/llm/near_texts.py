@@ -6,8 +6,10 @@ Exact, by universe partition and pigeonhole:
   the same or the next band; a set belongs to its own band and probes the one below.
 * In band b two partners differ in at most H elements. The universe of hashes is cut into m = H + 1 + E segments:
   partners agree in at least E + 1 of them. A set indexes its segment subsets (a hash of the elements in a segment)
-  but for the E that cost most, that is that are likeliest to be shared by chance: the fewest elements first, equal numbers
-  by hash. This order depends on the subsets alone, so of E + 1 common ones one is indexed by both.
+  but for the E that cost most: empty ones, then those whose index lists are longest, then those with fewest elements,
+  equal ones by hash. List lengths come from a count of the segment subsets of all documents, in a table of ``SLOTS`` counters;
+  only counters of twice the mean and more say anything about a subset. This order depends on the subsets alone, so of E + 1 common
+  ones the cheapest is indexed by both, whatever the counts.
 * A set with more than E empty segments can't leave them all out in this way. Two such partners may agree in empty
   segments only; then another segment differs by one element at most, so these sets also index each subset
   with one element deleted (and, if even that doesn't reach H + 1, their single elements).
@@ -34,6 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +50,9 @@ SLACK = 0.2
 ROUNDS = 1
 KEY_BITS = 48
 BLOCK = 2048
+SLOT_BITS = 14
+SLOTS = 1 << SLOT_BITS
+KEYS_AT_ONCE = 20_000_000
 
 
 @lru_cache(8)
@@ -80,22 +86,29 @@ def _salted(values: np.ndarray, band: int, kind: int) -> np.ndarray:
     return mix(values ^ mix(np.array([(band << 8 | kind) + 1], np.uint64)))
 
 
-def signatures(s: np.ndarray, band: int, percent: int = PERCENT) -> np.ndarray:
-    """Keys of a sorted set in a band's namespace."""
+def _segments(s: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, ...]:
+    """(sizes, sums, hashes, scrambled elements) of the segment subsets of a sorted set in a band's namespace."""
     _, _, h, e = bands(percent)[band]
-    if h == 0:
-        return np.zeros(0, np.uint64)  # only equal sets, which are one node
     m = h + 1 + e
     at = np.append(np.searchsorted(s, _edges(m)), len(s))
-    size = np.diff(at)
     scrambled = mix(s ^ np.uint64(0xA24BAED4963EE407))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(scrambled)])
     subset = sums[at[1:]] - sums[at[:-1]]
-    keys = mix(subset + np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    # cost: few elements are shared by chance
-    order = np.lexsort((keys, size))
+    return np.diff(at), subset, mix(subset + np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), scrambled
+
+
+def signatures(s: np.ndarray, band: int, percent: int = PERCENT, cost: np.ndarray | None = None) -> np.ndarray:
+    """Keys of a sorted set in a band's namespace; ``cost`` has a class of list length for each slot."""
+    _, _, h, e = bands(percent)[band]
+    if h == 0:
+        return np.zeros(0, np.uint64)  # only equal sets, which are one node
+    size, subset, keys, scrambled = _segments(s, band, percent)
+    m = len(size)
+    salted = _salted(keys, band, 0)
+    long = np.zeros(m, np.int8) if cost is None else cost[salted >> np.uint64(64 - SLOT_BITS)]
+    order = np.lexsort((keys, size, -long, size > 0))
     empty = int((size == 0).sum())
-    out = _salted(keys[order[max(e, empty) :]], band, 0)
+    out = salted[order[max(e, empty) :]]
     if empty <= e:
         return out
     segment = np.repeat(np.arange(m, dtype=np.uint64), size)
@@ -107,26 +120,65 @@ def signatures(s: np.ndarray, band: int, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(more)
 
 
-def all_signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def counted(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """How many segment subsets of the sets, in their own band and the one below, fall in each slot."""
+    out = np.zeros(SLOTS, np.int64)
+    for s in sets:
+        own = band_of(len(s), percent) if len(s) else 0
+        for b in range(max(own - 1, 0), own + 1) if len(s) else ():
+            if bands(percent)[b][2]:
+                size, _, keys, _ = _segments(s, b, percent)
+                out += np.bincount((_salted(keys[size > 0], b, 0) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS)
+    return out
+
+
+def classes(counts: np.ndarray) -> np.ndarray:
+    """Class of list length of each slot: how often its count doubles the mean, 0 for those that don't stand out."""
+    mean = max(counts.mean(), 1.0)
+    return np.floor(np.log2(np.maximum(counts / mean, 1.0))).astype(np.int8)
+
+
+def all_signatures(s: np.ndarray, percent: int = PERCENT, cost: np.ndarray | None = None) -> np.ndarray:
     """Keys of a set in its own band (lowest bit 0) and the band below (lowest bit 1)."""
     b = band_of(len(s), percent)
-    own = signatures(s, b, percent) & ~np.uint64(1)
+    own = signatures(s, b, percent, cost) & ~np.uint64(1)
     if b == 0:
         return own
-    return np.concatenate([own, signatures(s, b - 1, percent) | np.uint64(1)])
+    return np.concatenate([own, signatures(s, b - 1, percent, cost) | np.uint64(1)])
 
 
-def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, tie, n, node): size and digest of each document's set (null if empty); tie tells rows of one id apart."""
+def _sets(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """(doc_id, tie, n, node, counts): size and digest of each document's set (null if empty); tie tells rows of one id apart.
+
+    The last row of each task has none of these but the task's counts of segment subsets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = ["doc_id", "tie", "n", "node", "counts"], np.zeros(SLOTS, np.int64)
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(part.column("text"))
                 nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary())], ["doc_id", "tie", "n", "node"])
+                counts += counted(list(dict(zip(nodes, sets, strict=True)).values()), percent)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.nulls(len(sets), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names)
+
+    return _rows(docs, key, text).mapInArrow(run, "doc_id long, tie long, n long, node binary, counts binary")
+
+
+def _total(counts: DataFrame) -> np.ndarray:
+    """Sum of the tasks' counts, in two steps: SLOTS numbers, however much there is to count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for raw in b.column("counts").to_pylist():
+                out += np.frombuffer(raw, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["counts"])
 
-    return _rows(docs, key, text).mapInArrow(run, "doc_id long, tie long, n long, node binary")
+    some = counts.select("counts").repartition(max(1, int(counts.count() ** 0.5))).mapInArrow(run, "counts binary")
+    row = some.repartition(1).mapInArrow(run, "counts binary").first()
+    return np.frombuffer(row[0], np.int64) if row else np.zeros(SLOTS, np.int64)
 
 
 def tie_of(text: Column) -> Column:
@@ -144,7 +196,7 @@ def _short(node: bytes) -> int:
 _PACKED = "part int, keys binary, whose binary, ids binary"
 
 
-def _signed(docs: DataFrame, text: str, parts: int, percent: int) -> DataFrame:
+def _signed(docs: DataFrame, text: str, parts: int, percent: int, cost: np.ndarray) -> DataFrame:
     """Signatures of each slice of documents, one row per partition: KEY_BITS of the key, position in ids, short ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +211,7 @@ def _signed(docs: DataFrame, text: str, parts: int, percent: int) -> DataFrame:
                     if node in seen:
                         continue
                     seen.add(node)
-                    k = all_signatures(s, percent)
+                    k = all_signatures(s, percent, cost)
                     if len(k):
                         ids.append(node)
                         keys.append(k)
@@ -185,15 +237,19 @@ def _signed(docs: DataFrame, text: str, parts: int, percent: int) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, _PACKED)
 
 
-def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(key, short id) of all signatures of one partition."""
+def _unpacked(group: pa.Table, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(key, short id) of the signatures of one partition; of ``turns`` parts by bucket the one."""
     keys, who = [], []
     for k, w, i in zip(group.column("keys").to_pylist(), group.column("whose").to_pylist(), group.column("ids").to_pylist(), strict=True):
         n = len(k) // (KEY_BITS // 8)
         raw = np.zeros((n, 8), np.uint8)
         raw[:, : KEY_BITS // 8] = np.frombuffer(k, np.uint8).reshape(n, -1)
-        keys.append(raw.view("<u8").ravel())
-        who.append(np.frombuffer(i, "<i8")[np.frombuffer(w, "<u2" if len(w) == 2 * n else "<u4")])
+        key, short = raw.view("<u8").ravel(), np.frombuffer(i, "<i8")[np.frombuffer(w, "<u2" if len(w) == 2 * n else "<u4")]
+        if turns > 1:
+            mine = (key >> np.uint64(1)) % np.uint64(turns) == turn
+            key, short = key[mine], short[mine]
+        keys.append(key)
+        who.append(short)
     return np.concatenate(keys), np.concatenate(who)
 
 
@@ -201,7 +257,8 @@ def buckets_of(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(bucket, short id, own) of buckets with two members or more, one of them in its own band.
 
     A bucket's number is a hash of its members, so that those with the same members become one, here and wherever else they
-    come up (should two hashes be equal, the larger bucket holds more candidates, none fewer).
+    come up. Here one is left out only if its members are those of another (compared, not only their hashes); elsewhere
+    buckets of equal numbers come together, which only adds candidates.
     """
     bucket = key >> np.uint64(1)
     order = np.argsort(bucket)
@@ -219,24 +276,30 @@ def buckets_of(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray
     b, w, own = b[once], w[once], ~probe[once]
     starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
     members = np.diff(np.append(starts, len(b)))
-    tags = mix(w.view(np.uint64) * np.uint64(2) + own)
-    content = np.add.reduceat(tags, starts)
-    good = (members >= 2) & np.logical_or.reduceat(own, starts)
-    first = np.zeros(len(starts), bool)
-    first[np.unique(content, return_index=True)[1]] = True
-    keep = np.repeat(good & first, members)
+    content = np.add.reduceat(mix(w.view(np.uint64) * np.uint64(2) + own), starts)
+    _, first, of = np.unique(content, return_index=True, return_inverse=True)
+    # each member against that at the same place of the first bucket of that hash
+    model = first[of]
+    alike = members == members[model]
+    offset = np.arange(len(b)) - np.repeat(starts, members)
+    other = np.repeat(starts[model], members) + np.minimum(offset, np.repeat(members[model], members) - 1)
+    alike &= np.logical_and.reduceat((w == w[other]) & (own == own[other]), starts)
+    alike[first] = False
+    keep = np.repeat((members >= 2) & np.logical_or.reduceat(own, starts) & ~alike, members)
     return np.repeat(mix(content), members)[keep], w[keep], own[keep]
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
-    """(bucket, short, own) rows."""
+    """(bucket, short, own) rows; a partition of very many signatures is unpacked and sorted in several turns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in sorted_groups(batches, ["part"]):
-            b, w, own = buckets_of(*_unpacked(g))
-            b = b.view(np.int64)
-            for a in range(0, len(b), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(b[a : a + 50_000]), pa.array(w[a : a + 50_000]), pa.array(own[a : a + 50_000])], ["bucket", "short", "own"])
+            turns = 1 + pc.sum(pc.binary_length(g.column("keys"))).as_py() // (KEY_BITS // 8) // KEYS_AT_ONCE
+            for turn in range(turns):
+                b, w, own = buckets_of(*_unpacked(g, turn, turns))
+                b = b.view(np.int64)
+                for a in range(0, len(b), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(b[a : a + 50_000]), pa.array(w[a : a + 50_000]), pa.array(own[a : a + 50_000])], ["bucket", "short", "own"])
 
     return signed.repartition("part").sortWithinPartitions("part").mapInArrow(run, "bucket long, short long, own boolean").distinct()
 
@@ -367,10 +430,12 @@ def near_texts(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", tex
     ``component_id`` is the smallest id, which is null or shared where ids are; ``root`` is a node of the component and names it alone.
     """
     spark = docs.sparkSession
-    every = kept_table(_sets(docs, key, text), "sets")
+    read = kept_table(_sets(docs, key, text, percent), "sets")
+    cost = classes(_total(read.filter("counts is not null")))
+    every = read.filter("counts is null").drop("counts")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("rep")
     nodes = every.filter("node is not null").groupBy("node").agg(rep, F.first("n").alias("n"))
-    members = kept_table(_member_rows(_buckets(_signed(docs, text, _parts(spark), percent)), nodes), "buckets")
+    members = kept_table(_member_rows(_buckets(_signed(docs, text, _parts(spark), percent, cost)), nodes), "buckets")
     wanted = members.groupBy("node").agg(F.first("rep").alias("rep")).select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.tie").alias("tie"))
     free_shuffles(spark)
     texts = _rows(docs, key, text).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(wanted.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))), ["doc_id", "tie"])
@@ -410,7 +475,7 @@ def near_texts(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", tex
 
 
 def _parts(spark) -> int:
-    return min(1 << 14, 4 * shuffle_parts(spark))
+    return min(1 << 16, 4 * shuffle_parts(spark))  # as many as the upper bits of a key can tell apart
 
 
 def _member_rows(buckets: DataFrame, nodes: DataFrame) -> DataFrame:

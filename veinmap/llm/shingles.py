@@ -1,8 +1,8 @@
 """Sets of five-word shingles of whole texts, as sorted 64-bit hashes, computed on the bytes of an Arrow array.
 
 Words are lower-cased (A-Z) runs without ASCII white space. A word's hash is a polynomial over
-random 64-bit values of its bytes, taken from prefix sums; words over ``LONG_WORD`` bytes are hashed one by
-one. Everything is a function of the word's bytes alone.
+random 64-bit values of its bytes, taken from prefix sums; such a polynomial modulo 2^64 can't tell some words of a
+thousand letters and more apart, whatever its constants, so words over ``LONG_WORD`` bytes get a keyed digest each. Everything is a function of the word's bytes alone.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SHINGLE = 5
-LONG_WORD = 1 << 14
+LONG_WORD = 256
 SPAN = 1 << 20
 
 _RNG = np.random.default_rng(77_003)
@@ -56,7 +56,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     while at < len(starts):
         if sizes[at] > LONG_WORD:
             word = _LOWER[data[starts[at] : ends[at]]].tobytes()
-            out[at] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+            out[at] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"long word").digest(), "little")
             at += 1
             continue
         first = int(starts[at])
