@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_CLASS, kept_table, let
 
-SAMPLE_ROWS = 500
+SAMPLE_ROWS = 1000
 SAMPLE_CHARS = 20_000
 SAMPLE_SEED = 4
 COST_STEP, LEAST_COST, TIMED = 8.0, -3, 0.1
@@ -179,7 +179,7 @@ def costs_of(sample: DataFrame) -> dict[str, int]:
         each = once if repeats == 1 else max((_seconds(sample, names, repeats) - base[repeats]) / repeats, 0.0)
         raw[n] = max(each - sum(raw[x] for x in needed(STATS[n][0])), 1e-6)
     dearest = max(raw.values())
-    return {n: max(round(math.log(x / dearest, COST_STEP)), LEAST_COST) for n, x in raw.items()}
+    return {n: max(round(math.log(x / dearest, COST_STEP) + 1 / 6), LEAST_COST) for n, x in raw.items()}
 
 
 def greedy(rules: list[Rule], hits: list[frozenset[str]], cost: dict[str, int]) -> list[dict]:
