@@ -207,3 +207,18 @@ def test_revisits(spark, monkeypatch):
     got = {r.record_id: (r.response_id, r.payload) for r in V.resolve_revisits(hot).collect()}
     assert got == {i: (i - i % 4, f"p{i - i % 4}") if i > 4 else (None, None) for i in range(1, 4001) if i % 4}
     assert V.resolve_revisits(df.union(df.filter("record_id = 3"))).filter("record_id = 3").count() == 2
+
+
+def test_redact_takes_accounts_before_cards(spark):
+    iban = "GB33 BUKB 2020 1555 5555 55"
+    long = "iban MT84 MALT 0110 0001 2345 MTLC AST0 01S and 4111 1111 1111 1111"
+    inner = "NO93 8601 1117 947 iban DE75 5121 0800 1245 1261 99"
+    df = spark.createDataFrame([(0, f"bank {iban}."), (1, long), (2, inner)], "doc_id long, text string")
+    assert [r.text for r in P.redact(df).orderBy("doc_id").collect()] == ["bank [IBAN].", "iban [IBAN] and [CARD]", "[IBAN] iban [IBAN]"]
+
+
+def test_pii_many_spans_end_quickly(spark):
+    texts = ["mail a.b@example.org, " * 30_000, "card 4111 1111 1111 1111; " * 20_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (len(r.email), len(r.card), {x.score for x in r.email}) for r in P.find_pii(df).collect()}
+    assert got == {0: (30_000, 0, {1.0}), 1: (0, 20_000, set())}

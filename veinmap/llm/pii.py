@@ -11,6 +11,9 @@ Kinds: ``email ip card phone`` (base, kept whatever their score) and ``iban`` (m
 start, with the length of its country, or, where the country is in no register, with each end before a
 character that isn't a letter or digit (the longest that passes mod-97 counts); what follows never changes it.
 
+The context of a span is what stands up to ``CONTEXT_CHARS`` before and after it, as far as the next proposal of its kind,
+so that a text's spans cost no more than the text. ``redact`` takes accounts before cards, whose digits they may hold.
+
 Defined results: null and empty texts have no spans; texts of any length are searched whole; rows
 are judged one by one, so ties, repeated rows and empty tables need no rule; extra columns
 pass ``redact`` unchanged.
@@ -105,6 +108,10 @@ KINDS = [
 ]
 
 
+#: The order in which kinds are replaced: those that may hold another's digits first.
+REDACTED = ["email", "iban", "card", "ssn", "ip", "phone"]
+
+
 def prefix_sums(lens: Column) -> Column:
     """Sums of all earlier elements, in blocks of SCAN_BLOCK, so that long arrays aren't copied for each element."""
 
@@ -117,7 +124,8 @@ def prefix_sums(lens: Column) -> Column:
     return let(blocks, lambda bs: let(scan(F.transform(bs, total), F.lit(0)), lambda starts: F.flatten(F.transform(bs, lambda b, i: scan(b, F.get(starts, i))))))
 
 
-_SPAN = "array<struct<m:string,start:bigint,end:bigint>>"
+# A proposal: the match, its place, and the pieces of text before and after what the pattern took.
+_SPAN = "array<struct<m:string,start:bigint,end:bigint,before:string,after:string>>"
 
 
 def _matches(t: Column, kind: Kind) -> Column:
@@ -126,16 +134,17 @@ def _matches(t: Column, kind: Kind) -> Column:
 
 
 def proposals(t: Column, kind: Kind) -> Column:
-    """array<struct<m,start,end>> of every match of the kind's pattern."""
+    """array<struct<m,start,end,before,after>> of every match of the kind's pattern."""
 
     def placed(ms: Column) -> Column:
-        pieces = F.transform(F.split(t, kind.pattern, -1), lambda p: F.length(p).cast("bigint"))
         sizes = F.transform(ms, lambda m: (F.length(m) if kind.takes is None else F.lit(kind.takes)).cast("bigint"))
 
         def at(x: Column) -> Column:
-            return let(x["before"], lambda b: F.transform(ms, lambda m, i: F.struct(m.alias("m"), (F.get(b, i) + F.get(x["pieces"], i)).alias("start"), (F.get(b, i) + F.get(x["pieces"], i) + F.length(m)).alias("end"))))
+            start = lambda i: F.get(x["sums"], i) + F.length(F.get(x["pieces"], i))
+            return F.transform(ms, lambda m, i: F.struct(m.alias("m"), start(i).alias("start"), (start(i) + F.length(m)).alias("end"), F.get(x["pieces"], i).alias("before"), F.get(x["pieces"], i + 1).alias("after")))
 
-        return let(pieces, lambda ps: let(F.zip_with(ps, sizes, lambda p, m: F.coalesce(p, F.lit(0)) + F.coalesce(m, F.lit(0))), lambda st: let(F.struct(prefix_sums(st).alias("before"), ps.alias("pieces")), at)))
+        steps = lambda ps: F.zip_with(ps, sizes, lambda p, m: F.coalesce(F.length(p), F.lit(0)).cast("bigint") + F.coalesce(m, F.lit(0)))
+        return let(F.split(t, kind.pattern, -1), lambda ps: let(steps(ps), lambda st: let(F.struct(prefix_sums(st).alias("sums"), ps.alias("pieces")), at)))
 
     return let(_matches(t, kind), lambda ms: F.when(F.size(ms) > 0, placed(ms).cast(_SPAN)).otherwise(F.array().cast(_SPAN)))
 
@@ -153,12 +162,13 @@ def spans(t: Column, kind: Kind) -> Column:
     if kind.valid is not None:
         found = F.filter(found, lambda x: kind.valid(x["m"]))
     if kind.extent is not None:
-        sized = F.transform(found, lambda x: let(kind.extent(x["m"]), lambda n: F.struct(F.substring(x["m"], F.lit(1), n).alias("m"), x["start"].alias("start"), (x["start"] + n).alias("end"))))
+        sized = F.transform(found, lambda x: let(kind.extent(x["m"]), lambda n: F.struct(x["m"].alias("m"), x["start"].alias("start"), (x["start"] + n).alias("end"), x["before"].alias("before"), x["after"].alias("after"))))
         found = let(F.filter(sized, lambda x: x["end"] > x["start"]).cast(_SPAN), _apart)
 
     def scored(x: Column) -> Column:
-        since = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-        near = F.lower(F.substring(t, (since + 1).cast("int"), (x["end"] - since + CONTEXT_CHARS).cast("int")))
+        taken = x["m"] if kind.takes is None else F.left(x["m"], F.lit(kind.takes))
+        beyond = F.lit(CONTEXT_CHARS) if kind.takes is None else (x["end"] - x["start"] + CONTEXT_CHARS - kind.takes).cast("int")
+        near = F.lower(F.concat(F.right(x["before"], F.lit(CONTEXT_CHARS)), taken, F.left(x["after"], beyond)))
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.round(F.least(F.lit(kind.score) + F.when(near.rlike(kind.context), 0.35).otherwise(0.0), F.lit(1.0)), 2).alias("score"))
 
     found = F.transform(found, scored)
@@ -182,7 +192,7 @@ def redact(docs: DataFrame, text: str = "text", kinds: list[Kind] | None = None)
     A replacement holds no digit, ``@`` or ``+``, so it is never part of a later match.
     """
     out = docs
-    for kind in KINDS if kinds is None else kinds:
+    for kind in sorted(KINDS if kinds is None else kinds, key=lambda k: REDACTED.index(k.name) if k.name in REDACTED else len(REDACTED)):
         out = out.withColumn(text, F.when(out[text].isNotNull(), _redacted_text(F.coalesce(out[text], F.lit("")), kind)))
     return out
 
@@ -223,3 +233,8 @@ def op6_pii(spark, sf_dir: str) -> DataFrame:
         F.array_join(every, ",").alias("spans"),
         F.array_join(F.transform(F.concat(*[F.transform(k.name, lambda x: x["score"]) for k in KINDS]), lambda x: x.cast("string")), ",").alias("scores"),
     )
+
+
+def pii_base_spans(spark, sf_dir: str) -> DataFrame:
+    """What op6 finds of the base kinds."""
+    return op6_pii(spark, sf_dir).drop("spans", "scores")
