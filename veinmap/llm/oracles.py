@@ -119,3 +119,34 @@ r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, l.y FROM
 c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
 SELECT c.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM c LEFT JOIN n ON n.doc_id = c.doc_id
 """
+
+
+def _spans(kind: str, pattern: str, option: str = "") -> str:
+    """SQL of (doc_id, kind, m, a, b): every match of a pattern, with its place from the pieces between the matches."""
+    return f"""
+  SELECT doc_id, '{kind}' AS kind, m, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+  FROM (SELECT doc_id, ms, p, i, ms[i] AS m FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}', 0{option}) AS ms, string_split_regex(t, '{pattern}'{option}) AS p FROM d) x, LATERAL (SELECT unnest(range(1, len(ms) + 1)) AS i) y) z"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN CAST(substr({_DIGITS}, length({_DIGITS}) + 1 - j, 1) AS INT) ELSE (CAST(substr({_DIGITS}, length({_DIGITS}) + 1 - j, 1) AS INT) * 2) // 10 + (CAST(substr({_DIGITS}, length({_DIGITS}) + 1 - j, 1) AS INT) * 2) % 10 END)) % 10 = 0"
+_PII = [("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+", "true"), ("ip", "[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: CAST(x AS HUGEINT) > 255)) = 0"), ("card", "[0-9]([\\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}"), ("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15")]
+
+SQL["pii_base_spans"] = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ("
+    + " UNION ALL ".join(f"SELECT *, {i} AS o FROM ({_spans(k, p)}) f WHERE {ok}" for i, (k, p, ok) in enumerate(_PII))
+    + ") SELECT d.doc_id, "
+    + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, _, _ in _PII)
+    + ", sha256(coalesce(string_agg(kind || ':' || a || ':' || (a + length(m)), ',' ORDER BY o, a), '')) AS base_sha256 FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"
+)
+_SECRETS = [("assign", """(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")]
+_SECRET_OK = ["length(regexp_extract(m, '^(?i:password|passwd|secret|token|api_?key)[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)', 1)) >= 8", "length(m) >= 16", "length(m) >= 32"]
+
+# letters of the names in either case: RE2 would also fold two letters beyond ASCII (long s, Kelvin sign) into s and k
+SQL["secrets_base_spans"] = (
+    "WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(383) || chr(8490), chr(1) || chr(1)) AS t FROM documents), s AS ("
+    + " UNION ALL ".join(f"SELECT *, {i} AS o FROM ({_spans(k, '(?i)' + p if k == 'assign' else p)}) f WHERE {ok}" for i, ((k, p), ok) in enumerate(zip(_SECRETS, _SECRET_OK, strict=True)))
+    + ") SELECT d.doc_id, "
+    + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, _ in _SECRETS)
+    + ", sha256(coalesce(string_agg(kind || ':' || a || ':' || (a + length(m)), ',' ORDER BY a, o), '')) AS base_sha256 FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"
+)

@@ -16,6 +16,9 @@ _QUERIES = {
     "op9_token_files": "token_files",
     "op6_pii": "pii",
     "op8_quality_rules": "quality",
+    # the spans of op6 and op7 that the contract fixes, without those that the method adds: what SQL can express
+    "pii_base_spans": "pii",
+    "secrets_base_spans": "secrets",
 }
 
 

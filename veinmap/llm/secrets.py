@@ -285,3 +285,8 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:
     return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def secrets_base_spans(spark, sf_dir: str) -> DataFrame:
+    """What op7 finds of the base kinds."""
+    return op7_secrets(spark, sf_dir).drop("spans")
