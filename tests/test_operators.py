@@ -299,3 +299,14 @@ def test_execution_order_with_other_columns(spark):
     rows = [(k, "G", f"T{k}", "S" * rng.randrange(50)) for k in rng.sample(range(100_000), 3000)]
     got = {r.job_num: r.exec_seq for r in jobs.load_jobs(jobs_frame(spark, rows)).select("exec_seq", "job_num", "is_active").collect()}
     assert got == {k: n for n, k in enumerate(sorted(r[0] for r in rows), 1)}
+
+
+def test_long_lists_are_cut(spark):
+    rows = [("T", "C", 1, "e", "DIRECT", "S" * 40, f"C{i:05}", "VALUE", "VIEW_DEF", i, "RESOLVED") for i in range(500)] + [(None, None, 1, "e", "DIRECT", "A", "B", "KEY", "VIEW_DEF", None, "AMBIGUOUS")]
+    df = spark.createDataFrame(rows, "target_object string, target_column string, column_pos int, expression string, transform_type string, source_object string, source_column string, ref_role string, lineage_origin string, job_num long, resolution string")
+    got = {r.target_object: r for r in reports.column_calculation(df).collect()}
+    one, size = "S" * 40 + ".C00000", 49
+    shown = got["T"].value_sources.split(", ")
+    assert shown[0] == one and len(got["T"].value_sources) <= 4000 < len(got["T"].value_sources) + 2 * size
+    assert shown[-1] == f"...({500 - len(shown) + 1})" and got["T"].job_nums.startswith("0, 1, 10, 100, 101")
+    assert got[None].condition_sources == "A.B (key)" and got[None].value_sources is None and got[None].has_unresolved == "Y"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -118,25 +121,48 @@ def column_choices(lineage: DataFrame) -> DataFrame:
     return t.unionByName(s).groupBy("object_name", "column_name").agg(F.min("column_pos").alias("column_pos"))
 
 
-def _listed(keep: Column, text: Column) -> Column:
-    """Comma-separated texts in the order of source object and column, repeats kept."""
-    rows = F.array_sort(F.collect_list(F.when(keep, F.struct("source_object", "source_column", text.alias("t")))))
-    return F.array_join(F.transform(rows, lambda x: x["t"]), ", ")
+LIST_BYTES = 4000
+
+
+def _lists(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, list, listed): the texts of each list in the order of ``o`` and ``text``, joined by commas, repeats kept.
+
+    A list over LIST_BYTES ends with the last text that fits whole and the number of those left out. Bytes are
+    summed up in the order of a window, so that of a list of any length only what is shown is gathered in one value.
+    """
+    by = [*key, "list"]
+    order = Window.partitionBy(*by).orderBy("o", "text")
+    sized = rows.withColumn("size", F.octet_length("text") + 2)
+    upto = sized.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("upto") <= LIST_BYTES + 2)
+    texts = upto.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("upto", "text"))).alias("texts"))
+    total = sized.groupBy(*by).agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n"))
+    same = reduce(and_, [total[c].eqNullSafe(texts[c]) for c in by])
+    out = total.join(texts, same, "left").select(*[total[c] for c in by], "total", "n", "texts")
+    whole = F.array_join(F.transform("texts", lambda x: x["text"]), ", ")
+    fit = F.filter("texts", lambda x: x["upto"] <= LIST_BYTES - 24)
+    cut = F.concat(F.array_join(F.transform(fit, lambda x: F.concat(x["text"], F.lit(", "))), ""), F.lit("...("), (F.col("n") - F.size(fit)).cast("string"), F.lit(")"))
+    return out.select(*by, F.when(F.col("texts").isNull(), F.concat(F.lit("...("), F.col("n").cast("string"), F.lit(")"))).when(F.col("total") <= LIST_BYTES + 2, whole).otherwise(cut).alias("listed"))
 
 
 def column_calculation(lineage: DataFrame) -> DataFrame:
     """One row per target column: how it is calculated, and from what."""
-    name = F.concat("source_object", F.lit("."), "source_column")
-    known = F.col("source_object").isNotNull()
+    key = ["target_object", "target_column"]
+    name, role = F.concat("source_object", F.lit("."), "source_column"), F.col("ref_role")
     strongest = F.max(F.struct(R.transform_rank(F.col("transform_type")).alias("r"), "transform_type"))["transform_type"]
-    empty = lambda c: F.when(c != "", c)
-    return lineage.groupBy("target_object", "target_column").agg(
+    calculated = lineage.groupBy(*key).agg(
         F.min("column_pos").alias("column_pos"),
         F.max("expression").alias("expression"),
         strongest.alias("transform_type"),
-        empty(_listed(known & (F.col("ref_role") == "VALUE"), name)).alias("value_sources"),
-        empty(_listed(known & F.col("ref_role").isin("CONDITION", "WINDOW", "KEY"), F.concat(name, F.lit(" ("), F.lower("ref_role"), F.lit(")")))).alias("condition_sources"),
         F.max("lineage_origin").alias("lineage_origin"),
-        empty(F.array_join(F.sort_array(F.collect_set(F.col("job_num").cast("string"))), ", ")).alias("job_nums"),
         F.max(F.when(F.col("resolution").isin("AMBIGUOUS", "UNRESOLVED"), "Y").otherwise("N")).alias("has_unresolved"),
     )
+    known = lineage.filter("source_object is not null and source_column is not null")
+    place = F.struct("source_object", "source_column").alias("o")
+    none = F.lit(None).cast("string")
+    values = known.filter(role == "VALUE").select(*key, F.lit("value").alias("list"), place, name.alias("text"))
+    conditions = known.filter(role.isin("CONDITION", "WINDOW", "KEY")).select(*key, F.lit("condition"), place, F.concat(name, F.lit(" ("), F.lower(role), F.lit(")")))
+    job_nums = lineage.filter("job_num is not null").select(*key, F.lit("job"), F.struct(none.alias("source_object"), none.alias("source_column")), F.col("job_num").cast("string")).distinct()
+    lists = _lists(values.union(conditions).union(job_nums), key)
+    shown = lists.groupBy(*key).agg(*[F.max(F.when(F.col("list") == x, F.col("listed"))).alias(c) for x, c in (("value", "value_sources"), ("condition", "condition_sources"), ("job", "job_nums"))])
+    same = reduce(and_, [calculated[c].eqNullSafe(shown[c]) for c in key])
+    return calculated.join(shown, same, "left").select(*[calculated[c] for c in key], "column_pos", "expression", "transform_type", "value_sources", "condition_sources", "lineage_origin", "job_nums", "has_unresolved")
