@@ -108,6 +108,12 @@ def test_token_files(spark, odd_docs, no_docs, library, tmp_path):
     ids = [r.doc_id for r in rows]
     assert ids == sorted(ids, key=lambda x: (x is not None, x))
     assert not list(tmp_path.glob("t/*.bin.*"))
+    shard = files.shards[0][0]
+    near, far = TF.Shard(files.folder, shard), TF.Shard(files.folder, shard)
+    far.local = False
+    n = len(near.keys)
+    for a, b in ((0, n), (0, 1), (n // 2, n), (n, n)):
+        assert near.ids(a, b).tolist() == far.ids(a, b).tolist() and len(far.ids(a, b)) == near.offsets[b] - near.offsets[a]
     assert TF.read_token_files(spark, TF.write_token_files(no_docs, WORDS)).count() == 0
 
 

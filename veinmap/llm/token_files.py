@@ -5,7 +5,7 @@ integers (16 bits if the vocabulary allows, else 32), ``shard-N.idx`` the docume
 ids, a byte each that marks a null id, and count + 1 offsets, all 64-bit. ``bases`` come from a
 prefix sum over the shards' counts (one number a shard, the only thing that reaches the driver), so a
 document's place in the whole is base + offset. Readers map the files into memory where they are
-local, else read them through the same file system.
+local, else they read the index and then the ids by range through the same file system.
 
 A task writes under its attempt's name and renames at the end, so a retried or speculative
 task leaves the same files. Defined results: a null text is an empty one (the end id only), a null document
@@ -87,26 +87,34 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = Non
     return TokenFiles(folder, shards)
 
 
-def _mapped(folder: str, name: str) -> np.ndarray:
-    store, root = _open(folder)
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(f"{root}/{name}", np.uint8, "r")
-    with store.open_input_file(f"{root}/{name}") as f:
-        return np.frombuffer(f.read(), np.uint8)
-
-
-def read_shard(folder: str, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document ids, null marks, offsets, ids) of one shard, mapped into memory."""
-    idx = _mapped(folder, f"shard-{shard:06d}.idx")
-    if idx[:8].tobytes() != MAGIC:
-        raise ValueError(f"shard {shard}: not a token index")
-    width, n = (int(x) for x in idx[8:24].view("<u8"))
-    keys = np.frombuffer(idx, "<i8", n, 24)
-    nulls = np.frombuffer(idx, "u1", n, 24 + 8 * n).astype(bool)
-    offsets = np.frombuffer(idx, "<u8", n + 1, 24 + 9 * n)
-    if not offsets[-1]:
-        return keys, nulls, offsets, np.zeros(0, f"<u{width}")
-    return keys, nulls, offsets, np.frombuffer(_mapped(folder, f"shard-{shard:06d}.bin"), f"<u{width}", int(offsets[-1]))
+class Shard:
+    """One shard: its documents' ids, null marks and offsets, and ranges of its ids; mapped into memory or, where it isn't local, read by range."""
+
+    def __init__(self, folder: str, shard: int) -> None:
+        self.store, root = _open(folder)
+        self.name = f"{root}/shard-{shard:06d}"
+        self.local = isinstance(self.store, fs.LocalFileSystem)
+        idx = self._bytes("idx", 0, None)
+        if idx[:8].tobytes() != MAGIC:
+            raise ValueError(f"shard {shard}: not a token index")
+        self.width, n = (int(x) for x in idx[8:24].view("<u8"))
+        self.keys = np.frombuffer(idx, "<i8", n, 24)
+        self.nulls = np.frombuffer(idx, "u1", n, 24 + 8 * n).astype(bool)
+        self.offsets = np.frombuffer(idx, "<u8", n + 1, 24 + 9 * n).astype(np.int64)
+
+    def _bytes(self, kind: str, start: int, stop: int | None) -> np.ndarray:
+        if stop is not None and start >= stop:
+            return np.zeros(0, np.uint8)
+        if self.local:
+            return np.memmap(f"{self.name}.{kind}", np.uint8, "r")[start:stop]
+        with self.store.open_input_file(f"{self.name}.{kind}") as f:
+            f.seek(start)
+            return np.frombuffer(f.read(None if stop is None else stop - start), np.uint8)
+
+    def ids(self, first: int, last: int) -> np.ndarray:
+        """Ids of the documents at places first to last (exclusive)."""
+        a, b = int(self.offsets[first]), int(self.offsets[last])
+        return self._bytes("bin", a * self.width, b * self.width).view(f"<u{self.width}")
 
 
 def read_token_files(spark: SparkSession, files: TokenFiles, rows: int = 20_000) -> DataFrame:
@@ -119,13 +127,14 @@ def read_token_files(spark: SparkSession, files: TokenFiles, rows: int = 20_000)
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in (i for b in batches for i in b.column("id").to_pylist()):
             shard, _, _, base = shards[i]
-            keys, nulls, offsets, ids = read_shard(folder, shard)
-            at = offsets.astype(np.int64)
-            for a in range(0, len(keys), rows):
-                b = min(a + rows, len(keys))
-                crc = [zlib.crc32(ids[at[k] : at[k + 1]].astype("<u4").tobytes()) for k in range(a, b)]
+            part = Shard(folder, shard)
+            at = part.offsets
+            for a in range(0, len(part.keys), rows):
+                b = min(a + rows, len(part.keys))
+                ids = part.ids(a, b)
+                crc = [zlib.crc32(ids[at[k] - at[a] : at[k + 1] - at[a]].astype("<u4").tobytes()) for k in range(a, b)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[a:b], pa.int64(), mask=nulls[a:b]), pa.array(at[a:b] + base), pa.array(np.diff(at[a : b + 1])), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
+                    [pa.array(part.keys[a:b], pa.int64(), mask=part.nulls[a:b]), pa.array(at[a:b] + base), pa.array(np.diff(at[a : b + 1])), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
     return spark.range(0, len(shards), 1, len(shards)).mapInArrow(read, schema)
