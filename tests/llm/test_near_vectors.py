@@ -64,6 +64,15 @@ def test_large_bucket_is_dealt_out(spark, monkeypatch):
     assert BLOCK > 16
 
 
+def test_no_task_gets_a_hot_bucket(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 1000)
+    u = unit(np.random.default_rng(8).standard_normal((20_000, 8)))
+    rows = [(8, i.to_bytes(16, "little"), c.tobytes()) for i, c in enumerate(encode(u, 8))]
+    coded = spark.createDataFrame(rows, "dim int, node binary, code binary")
+    sizes = [r["count"] for r in N._blocks(coded, 0, 1).groupBy(*N.BLOCK_KEYS).count().collect()]
+    assert len(sizes) == 20 * 21 // 2 and max(sizes) < 2.4 * 1000
+
+
 def test_several_tables_and_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(N, "PER_BUCKET", 8)
     x = clustered(9, 600, 24).tolist()

@@ -439,18 +439,20 @@ def near_texts(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", tex
     wanted = members.groupBy("node").agg(F.first("rep").alias("rep")).select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.tie").alias("tie"))
     free_shuffles(spark)
     texts = _rows(docs, key, text).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(wanted.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))), ["doc_id", "tie"])
-    sets = kept_table(_with_sets(texts.select("node", "text")), "candidates").dropDuplicates(["node"])
+    candidates = kept_table(_with_sets(texts.select("node", "text")), "candidates")
+    sets = candidates.dropDuplicates(["node"])
     mates = members.groupBy("node").agg(F.count(F.lit(1)).alias("mates"))
     free_shuffles(spark)
     full = kept_table(members.select("bucket", "node", "n", "own").join(mates, "node"), "members")
     drop_kept(members)
-    members = full
+    members, used = full, [candidates, full]
     tested = links = root = None
     for r in range(rounds + 1):
         m = members.withColumn("root", F.col("node")) if root is None else members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         # the first pivots have most bucket mates; later ones are others
         order = F.struct((-F.col("mates") if r == 0 else F.xxhash64("node", F.lit(r))).alias("o"), "node", "n", "root")
         live = kept_table(m.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.when(F.col("own"), order)).alias("pivot")).filter("lo <> hi"), "pivots")
+        used.append(live)
         if r < rounds:
             m = m.join(live.select("bucket", "pivot"), "bucket").select("node", "n", "root", F.col("pivot.node").alias("pnode"), F.col("pivot.n").alias("pn"), F.col("pivot.root").alias("proot"))
             near = (F.col("root") != F.col("proot")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
@@ -459,14 +461,18 @@ def near_texts(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", tex
             pairs = _plausible(m.filter(near).select(*ends).distinct(), sets, percent)
         else:
             m = kept_table(m.join(live.select("bucket"), "bucket", "left_semi").select("bucket", "node", "n", "own", "root"), "live")
+            used.append(m)
             pairs = _crossing_pairs(m.join(sets.select("node", "sketch"), "node"), percent).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = kept_table(pairs, "pairs")
         found = kept_table(_linked(pairs, sets, percent), "links")
+        used += [pairs, found]
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         root = components(links)
+    for done in used:  # the result reads the sets' digests and the components alone
+        drop_kept(done)
     of = nodes.select("node", F.col("rep.doc_id").alias("least")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = kept_table(of.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     of = of.join(least, "root").select("node", "component_id", "root")
