@@ -44,6 +44,11 @@ SHAPES: dict[str, list[tuple[str, list[str]]]] = {
          [_READ, _T, "LIN|W|1|WINDOW|T_#|A|VALUE|RESOLVED", "LIN|W|1|WINDOW|T_#|B|WINDOW|RESOLVED", "LIN|W|1|WINDOW|T_#|A|WINDOW|RESOLVED", "LIN|R|2|WINDOW|T_#|A|VALUE|RESOLVED", "LIN|R|2|WINDOW|T_#|B|WINDOW|RESOLVED"]),
         ("select max(a) keep (dense_rank first order by b) k from t_#", [_READ, _T, "LIN|K|1|AGGREGATE|T_#|A|VALUE|RESOLVED", "LIN|K|1|AGGREGATE|T_#|B|WINDOW|RESOLVED"]),
     ],
+    "q13_multi_insert": [
+        ("insert all into a_# (x) values (p) into b_# (y, z) values (q, 1) select c p, a q from s_#", ["STATUS|OK|INSERT", "REF|A_#|TARGET|DATA", "REF|B_#|TARGET|DATA", _S]),
+        ("insert first when a > 1 then into a_# (x) values (c) else into me.b_# values (a) select a, c from s_#", ["STATUS|OK|INSERT", "REF|A_#|TARGET|DATA", "REF|B_#|TARGET|DATA", _S]),
+        ("insert into t_# (a, b) values (1, (select max(c) from s_#))", ["STATUS|OK|INSERT", "REF|T_#|TARGET|DATA", _S, "LIN|A|1|CONSTANT|-|-|VALUE|CONSTANT", "LIN|B|2|AGGREGATE|S_#|C|VALUE|RESOLVED"]),
+    ],
     "q18_create": [
         ("create or replace force view v_# (p, q) as select a, b from t_#", ["STATUS|OK|CREATE_VIEW", "REF|V_#|TARGET|DATA", _T, "LIN|P|1|DIRECT|T_#|A|VALUE|RESOLVED", "LIN|Q|2|DIRECT|T_#|B|VALUE|RESOLVED"]),
         ("create table n_# as select c from s_#", ["STATUS|OK|CREATE_TABLE", "REF|N_#|TARGET|DATA", _S, "LIN|C|1|DIRECT|S_#|C|VALUE|RESOLVED"]),
