@@ -193,7 +193,7 @@ def turns_as_events(turns: DataFrame) -> DataFrame:
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     half = F.floor(F.length(text) / 2).cast("int")
-    mid = F.concat_ws(":", role, F.sha2(text.cast("binary"), 256), F.monotonically_increasing_id().cast("string"))
+    mid = F.concat_ws(":", role, F.left(F.sha2(text.cast("binary"), 256), F.lit(16)), F.monotonically_increasing_id().cast("string"))
 
     def event(part: int, kind: str, said) -> object:
         return F.struct(F.lit(part).alias("part"), F.lit(kind).alias("kind"), said.alias("text"))
