@@ -128,7 +128,7 @@ def _least_reaching(edges: DataFrame) -> DataFrame:
 def components_by_colour(edges: DataFrame) -> DataFrame:
     """(node, root) by joins alone: peel nodes without incoming or outgoing edges; colour the rest by the least node that reaches
     them; what reaches back to that node within its colour is its component; repeat on what is left."""
-    e, done = stable(edges.select("src", "dst").filter("src <> dst").distinct()), []
+    e, done = _distinct(edges), []
     every = stable(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     before = e.count()
     while before:
@@ -155,9 +155,12 @@ def components_by_colour(edges: DataFrame) -> DataFrame:
     return out.select("node", F.coalesce("root", "node").alias("root"))
 
 
-def _pairs(edges: DataFrame, at_most: int) -> list[tuple[str, str]] | None:
-    """The distinct edges on the driver, None if there are more than a fixed number of them (counted first)."""
-    e = stable(edges.select("src", "dst").filter("src <> dst").distinct())
+def _distinct(edges: DataFrame) -> DataFrame:
+    return stable(edges.select("src", "dst").filter("src <> dst").distinct())
+
+
+def _pairs(e: DataFrame, at_most: int) -> list[tuple[str, str]] | None:
+    """The edges of a written table on the driver, None if there are more than a fixed number of them (counted first)."""
     if not at_most or e.count() > at_most:
         return None
     t = e.toArrow()
@@ -166,9 +169,10 @@ def _pairs(edges: DataFrame, at_most: int) -> list[tuple[str, str]] | None:
 
 def strong_components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """(node, root): the least node of each node's strongly connected component."""
-    pairs = _pairs(edges, driver_edges)
+    e = _distinct(edges)
+    pairs = _pairs(e, driver_edges)
     if pairs is None:
-        return components_by_colour(edges)
+        return components_by_colour(e)
     kind = edges.schema["src"].dataType.simpleString()
     return edges.sparkSession.createDataFrame(sorted(_tarjan(pairs).items()), f"node {kind}, root {kind}")
 
@@ -224,7 +228,8 @@ def places(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
 
     A graph without cycles is done by one peel; components are looked for only if that leaves edges.
     """
-    pairs = _pairs(edges, driver_edges)
+    e = _distinct(edges)
+    pairs = _pairs(e, driver_edges)
     kind = edges.schema["src"].dataType.simpleString()
     if pairs is not None:
         root = _tarjan(pairs)
@@ -232,7 +237,6 @@ def places(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
         names = list(root)
         t = pa.table({"node": pa.array(names), "root": pa.array([root[n] for n in names]), "dag_level": pa.array([level[root[n]] for n in names], pa.int32()), "in_cycle": pa.array(["Y" if size[root[n]] > 1 else "N" for n in names], pa.string())})
         return edges.sparkSession.createDataFrame(t).select(F.col("node").cast(kind), F.col("root").cast(kind), "dag_level", "in_cycle")
-    e = stable(edges.select("src", "dst").filter("src <> dst").distinct())
     level, left = _peel(e, e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     if left.isEmpty():
         return level.select("node", F.col("node").alias("root"), "dag_level", F.lit("N").alias("in_cycle"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.reading import read_statements
+from ..functions.stable import stable
 from ..operators import columns as C
 from ..operators import deps, graph, jobs, reports, trace, views
 from ..sources import sinks
@@ -48,6 +49,11 @@ def _run(spark, sf_dir: str, text: str = D.JOBS, with_views: bool = False, **opt
     return build(D.frame(spark, sf_dir, text), owner="ME", **more, **options)
 
 
+def _edges(spark, sf_dir: str, text: str):
+    """Edges or column lineage as a run has them: a written table."""
+    return stable(D.frame(spark, sf_dir, text))
+
+
 # -- shared SQL
 _ACTIVE = "o_orderkey % 11 NOT IN (0, 1)"
 _KEYS = f"SELECT o_orderkey AS k, o_custkey AS c, {_ACTIVE} AS active, o_orderkey % 42 AS kind, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS shift, 'ALL|' || o_orderpriority || '|' || o_orderstatus AS path, o_orderpriority, o_orderstatus FROM {{orders}}"
@@ -356,13 +362,13 @@ def g8_levels(spark, sf_dir):
 
 @_query(f"{_with('e', D.DAG)}, r AS (SELECT target_node AS node, 1 AS hops FROM e WHERE source_node = 'S1' UNION SELECT e.target_node, r.hops + 1 FROM r JOIN e ON e.source_node = r.node) SELECT node, CAST(min(hops) AS INT) AS hops FROM r GROUP BY node")
 def r1_reachable(spark, sf_dir):
-    t = trace.trace_object(D.frame(spark, sf_dir, D.DAG), "S1", "DOWN")
+    t = trace.trace_object(_edges(spark, sf_dir, D.DAG), "S1", "DOWN")
     return t.groupBy(F.col("target_node").alias("node")).agg(F.min("lvl").alias("hops"))
 
 
 @_query(f"{_with('e', D.DAG)}, r AS (SELECT 'C1' AS node, 0 AS d UNION SELECT e.source_node, r.d + 1 FROM r JOIN e ON e.target_node = r.node), m AS (SELECT node, min(d) AS d FROM r GROUP BY node) SELECT CAST(m.d + 1 AS INT) AS lvl, e.source_node, e.target_node, e.edge_origin, e.ref_context, 'C1 <- ' || CASE WHEN m.d = 0 THEN '' ELSE m.node || ' <- ' END || e.source_node AS path FROM e JOIN m ON m.node = e.target_node")
 def g12_trace_object(spark, sf_dir):
-    return trace.trace_object(D.frame(spark, sf_dir, D.DAG), " c1 ").select("lvl", "source_node", "target_node", "edge_origin", "ref_context", "path")
+    return trace.trace_object(_edges(spark, sf_dir, D.DAG), " c1 ").select("lvl", "source_node", "target_node", "edge_origin", "ref_context", "path")
 
 
 _FLOW = f"SELECT 'VIEW_DEF' AS lineage_origin, CAST(NULL AS BIGINT) AS job_num, target_node AS target_object, CASE WHEN substr(target_node, 1, 1) = 'C' THEN '*' ELSE 'A' END AS target_column, 1 AS column_pos, source_node || '.a' AS expression, 'DIRECT' AS transform_type, source_node AS source_object, CASE WHEN substr(target_node, 1, 1) = 'C' THEN '*' ELSE 'A' END AS source_column, 'VALUE' AS ref_role, 'RESOLVED' AS resolution FROM ({D.DAG}) e"
@@ -370,12 +376,12 @@ _FLOW = f"SELECT 'VIEW_DEF' AS lineage_origin, CAST(NULL AS BIGINT) AS job_num,
 
 @_query(f"{_with('e', D.DAG)}, r AS (SELECT 'C2' AS node, 0 AS d UNION SELECT e.source_node, r.d + 1 FROM r JOIN e ON e.target_node = r.node), m AS (SELECT node, min(d) AS d FROM r GROUP BY node) SELECT CAST(m.d + 1 AS INT) AS lvl, e.target_node AS target_object, 'A' AS target_column, e.source_node AS source_object, 'A' AS source_column, 'C2.A <- ' || CASE WHEN m.d = 0 THEN '' ELSE m.node || '.A <- ' END || e.source_node || '.A' AS path FROM e JOIN m ON m.node = e.target_node")
 def g13_trace_column(spark, sf_dir):
-    return trace.trace_column(D.frame(spark, sf_dir, _FLOW), "c2", "a").select("lvl", "target_object", "target_column", "source_object", "source_column", "path")
+    return trace.trace_column(_edges(spark, sf_dir, _FLOW), "c2", "a").select("lvl", "target_object", "target_column", "source_object", "source_column", "path")
 
 
 @_query(f"{_with('e', D.DAG)}, r AS (SELECT 'C2' AS node, 'C2.A' AS path, CAST(NULL AS VARCHAR) AS parent UNION ALL SELECT e.source_node, r.path || ' <- ' || e.source_node || '.A', r.path FROM r JOIN e ON e.target_node = r.node WHERE r.parent IS NULL), o AS (SELECT * FROM r UNION ALL SELECT s, path || ' <- ' || s || '.A', path FROM (SELECT e.source_node AS s, r.path, row_number() OVER (PARTITION BY e.source_node, r.node ORDER BY r.path) AS rn FROM r JOIN e ON e.target_node = r.node WHERE r.parent IS NOT NULL) x WHERE rn = 1) SELECT path AS id, parent AS parent_id, CASE WHEN parent IS NULL THEN node || '.A' ELSE node || '.A  [DIRECT]' END AS label FROM o")
 def rp12_lineage_tree(spark, sf_dir):
-    t = trace.trace_column(D.frame(spark, sf_dir, _FLOW), "C2", "A")
+    t = trace.trace_column(_edges(spark, sf_dir, _FLOW), "C2", "A")
     return trace.lineage_tree(t, "C2", "A").select("id", "parent_id", "label")
 
 
