@@ -47,6 +47,15 @@ def read_statements(statements: DataFrame, tree: bool = True) -> DataFrame:
     return statements.select("id", "sql", "target", "owner", "columns").mapInArrow(run, _SCHEMA)
 
 
+def texts_of(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, text) of rows (id, sql, target, owner), and each different text once as (id, sql, target, owner) with its digest as id.
+
+    What reading gives follows from these three columns and the dictionary, so that equal statements need one reading.
+    """
+    text = F.sha2(F.to_json(F.struct("sql", "target", "owner")), 256)  # nulls are left out, so they differ from empty texts
+    return statements.select("id", text.alias("text")), statements.select(text.alias("id"), "sql", "target", "owner").distinct()
+
+
 def names_in(sql: str) -> set[str]:
     """Names of one and two parts, as they are read, that the tokens of a text form."""
     out, before, dot = set(), None, False

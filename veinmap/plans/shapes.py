@@ -7,10 +7,11 @@ and Z; no dictionary knows U_#. What is said about a statement are lines: ``STAT
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.reading import read_statements, with_dictionary
+from ..functions.reading import read_statements, texts_of, with_dictionary
+from ..functions.stable import stable
 from . import derived as D
 
 _N = D.text_of("o_orderkey % 20")
@@ -126,15 +127,16 @@ def said_sql(name: str) -> str:
 
 
 def said(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """(job_num, said): what reading each order's statement, with its tables' columns, gives."""
-    s = D.frame(spark, sf_dir, texts(name)).select(F.col("job_num").cast("string").alias("id"), F.col("sql_text").alias("sql"), F.lit("OUT").alias("target"), F.lit("ME").alias("owner"))
-    read = read_statements(with_dictionary(s, D.frame(spark, sf_dir, COLUMNS)), False)
-
-    def line(kind: str, *fields: str):
-        return F.concat_ws("|", F.lit(kind), *[F.coalesce(F.col(f).cast("string"), F.lit("-")) for f in fields])
-
-    out = read.select("id", line("STATUS", "status", "statement").alias("said"))
-    out = out.unionByName(read.select("id", F.explode("refs").alias("r")).select("id", line("REF", "r.object_name", "r.object_role", "r.ref_context").alias("said")))
-    lineage = read.select("id", F.explode("lineage").alias("l"))
-    out = out.unionByName(lineage.select("id", line("LIN", *[f"l.{f}" for f in ("target_column", "column_pos", "transform_type", "source_object", "source_column", "ref_role", "resolution")]).alias("said")))
-    return out.select(F.col("id").cast("long").alias("job_num"), "said")
+    """(job_num, said): what reading each order's statement, with its tables' columns, gives. Equal statements are read once."""
+    s = D.frame(spark, sf_dir, texts(name)).select(F.col("job_num").alias("id"), F.col("sql_text").alias("sql"), F.lit("OUT").alias("target"), F.lit("ME").alias("owner"))
+    of, different = texts_of(s)
+    read = read_statements(with_dictionary(stable(different), D.frame(spark, sf_dir, COLUMNS)), False)
+
+    def line(kind: str, fields: list[Column]) -> Column:
+        return F.concat_ws("|", F.lit(kind), *[F.coalesce(f.cast("string"), F.lit("-")) for f in fields])
+
+    refs = F.transform("refs", lambda r: line("REF", [r[f] for f in ("object_name", "object_role", "ref_context")]))
+    lineage = F.transform("lineage", lambda x: line("LIN", [x[f] for f in ("target_column", "column_pos", "transform_type", "source_object", "source_column", "ref_role", "resolution")]))
+    # a written table has its size: a small one is broadcast, a large one joined with hot texts split
+    lines = stable(read.select(F.col("id").alias("text"), F.concat(F.array(line("STATUS", [F.col("status"), F.col("statement")])), refs, lineage).alias("lines")))
+    return of.join(lines, "text").select(F.col("id").cast("long").alias("job_num"), F.explode("lines").alias("said"))
