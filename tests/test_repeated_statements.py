@@ -16,7 +16,7 @@ def test_different_texts(spark):
     assert {(r.id, *t[r.text]) for r in of.collect()} == set(rows)
 
 
-@pytest.mark.parametrize("name", ["q13_multi_insert", "q8_paren_queries", "c9_outputs", "q3_with", "c3_roles", "c7_recursion"])
+@pytest.mark.parametrize("name", ["q13_multi_insert", "q8_paren_queries", "c9_outputs", "q3_with", "c3_roles", "c7_recursion", "q7_from_items"])
 def test_equal_statements_are_read_once(spark, tmp_path, monkeypatch, name):
     spark.range(600).selectExpr("id AS o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
     taken = []
