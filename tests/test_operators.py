@@ -2,6 +2,7 @@
 
 import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -248,6 +249,34 @@ def test_long_chains_on_the_driver_and_by_joins(spark):
     assert {(r.node, r.dag_level) for r in graph.places(dag, 0).collect()} == {("a", 0), ("x", 0), ("b", 1), ("c", 2)}
 
 
+def counted(monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "stable", lambda df, write=graph.stable: written.append(1) or write(df))
+    return written
+
+
+def test_rounds_of_components_grow_slowly(spark, monkeypatch):
+    # a path of 200 nodes into a ring of 50: peeling took a round for each node of the path
+    e = edges_of(spark, [(f"t{i:03}", f"t{i + 1:03}") for i in range(200)] + [("t200", "r00")] + [(f"r{i:02}", f"r{(i + 1) % 50:02}") for i in range(50)])
+    written = counted(monkeypatch)
+    got = {tuple(r) for r in graph.strong_components(graph.graph_edges(e), 0).collect()}
+    assert got == {(f"t{i:03}", f"t{i:03}") for i in range(201)} | {(f"r{i:02}", "r00") for i in range(50)}
+    assert len(written) < 60
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_components_of_paths_between_forks(spark, turned):
+    rng = random.Random(20)
+    pairs = {(f"n{rng.randrange(12):02}", f"n{rng.randrange(12):02}") for _ in range(8)}
+    for c in range(6):  # paths of nodes with one way out, some with a name before those of the forks
+        path = [f"n{rng.randrange(12):02}", *[f"{'cx'[c % 2]}{c}{i}" for i in range(c)], f"n{rng.randrange(12):02}"]
+        pairs |= set(zip(path, path[1:], strict=False))
+    pairs = sorted({(b, a) if turned else (a, b) for a, b in pairs if a != b})
+    got = {tuple(r) for r in graph.strong_components(graph.graph_edges(edges_of(spark, pairs)), 0).collect()}
+    want = graph._tarjan(pairs)
+    assert got == set(want.items()) and sorted(n for n in Counter(want.values()).values() if n > 1) == [5, 6]
+
+
 def test_paths_end_at_their_bytes(spark):
     from veinmap.operators.trace import PATH_LIMIT, _cut
 

@@ -2,7 +2,7 @@
 
 Every walk is a loop of joins over frames that are written between the steps. Components of graphs up
 to ``DRIVER_EDGES`` edges (counted first; a fixed bound of a few tens of MB) may be found on the driver; larger ones
-are found by trimming and colouring, in joins only.
+are found in joins only, by doubled steps along nodes with one way out or in, trimming and colouring.
 """
 
 from __future__ import annotations
@@ -155,6 +155,94 @@ def components_by_colour(edges: DataFrame) -> DataFrame:
     return out.select("node", F.coalesce("root", "node").alias("root"))
 
 
+def _rings(pointers: DataFrame) -> DataFrame:
+    """(node, root) of the nodes of (node, to), one row a node, from which the pointers lead back, and the least node of their ring.
+
+    Steps double: a round keeps the nodes that a step ends at, until a step only permutes what is left; then the least node of
+    2, 4, 8, ... steps is taken until a doubling lowers none. Rounds grow with the logarithm of the longest path.
+    """
+    state = stable(pointers.select("node", F.col("to").alias("at"), F.col("node").alias("root")))
+    n = state.count()
+    while n:
+        kept = stable(state.join(state.select(F.col("at").alias("node")).distinct(), "node", "left_semi"))
+        if kept.count() == n:
+            break
+        state = stable(kept.join(_onward(state), "at").select("node", F.col("to").alias("at"), F.least("root", "other").alias("root")))
+        n = state.count()
+    while n:
+        state = stable(state.join(_onward(state), "at").select("node", F.col("to").alias("at"), F.least("root", "other").alias("root"), (F.col("other") < F.col("root")).alias("moved")))
+        if state.filter("moved").isEmpty():
+            break
+    return state.select("node", "root")
+
+
+def _onward(state: DataFrame) -> DataFrame:
+    return state.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("root").alias("other"))
+
+
+def _ends(pointers: DataFrame) -> list[DataFrame]:
+    """(node, at) after 1, 2, 4, ... steps along pointers without rings; a step past the last pointer stays there. All have ended in the last."""
+    steps = [stable(pointers.select("node", F.col("to").alias("at")))]
+    while True:
+        s = steps[-1]
+        nxt = stable(s.join(s.select(F.col("node").alias("at"), F.col("at").alias("to")), "at", "left").select("node", F.coalesce("to", "at").alias("at"), F.col("to").isNotNull().alias("moved")))
+        if nxt.filter("moved").isEmpty():
+            return steps
+        steps.append(nxt.select("node", "at"))
+
+
+def _without_single_exits(e: DataFrame, out: DataFrame) -> DataFrame:
+    """``_in_components`` of edges (src, dst) whose sources ``out`` (src, n, to) mostly have one way out.
+
+    Such nodes lead into a ring, which is a component; to a node without exits, so that they are in none; or to a node with several
+    exits, whose graph is what is left to be solved. They are of that node's component if its members lead to them.
+    """
+    pointers = out.filter("n = 1").select(F.col("src").alias("node"), "to")
+    rings = stable(_rings(pointers))
+    split = stable(out.filter("n > 1").select(F.col("src").alias("node")))
+    if split.isEmpty():
+        return rings
+    steps = _ends(pointers.join(rings, "node", "left_anti"))
+    ends = stable(steps[-1].join(split.withColumnRenamed("node", "at"), "at", "left_semi").select("node", "at"))
+    way = e.join(split.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left").select("src", "dst", F.coalesce("at", "dst").alias("to"))
+    way = stable(way.join(split.withColumnRenamed("node", "to"), "to", "left_semi").select("src", "dst", "to"))
+    inner = _in_components(stable(way.filter("src <> to").select("src", F.col("to").alias("dst")).distinct()))
+    part = stable(split.join(inner, "node", "left").select("node", F.coalesce("root", "node").alias("part")))
+    entered = way.filter("dst <> to").join(part.select(F.col("node").alias("src"), F.col("part").alias("a")), "src").join(part.select(F.col("node").alias("to"), F.col("part").alias("b")), "to").filter("a = b")
+    within = stable(entered.select(F.col("dst").alias("node")).distinct())
+    for step in steps:  # what 1, 2, 4, ... steps from there pass
+        passed = step.join(within, "node").select(F.col("at").alias("node")).join(ends, "node", "left_semi")
+        within = stable(within.unionByName(passed).distinct())
+    members = stable(within.join(ends, "node").join(part.select(F.col("node").alias("at"), "part"), "at").select("node", "part").unionByName(part))
+    roots = members.groupBy("part").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return rings.unionByName(members.join(roots, "part").select("node", "root"))
+
+
+def _in_components(e: DataFrame) -> DataFrame:
+    """(node, root) of the nodes in components of several nodes, of distinct written edges (src, dst) without self loops.
+
+    Where a quarter of the sources has one way out, or of the targets one way in, these are taken out first by doubled steps: peeling and
+    colouring take a round for each edge of a long path, and these paths would be walked one by one.
+    """
+    for a, b in (("src", "dst"), ("dst", "src")):
+        turned = e.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+        out = stable(turned.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("to")))
+        n = out.count()
+        if not n:
+            return e.select(F.col("src").alias("node"), F.col("src").alias("root"))
+        if 4 * out.filter("n = 1").count() >= n:
+            return _without_single_exits(turned, out)
+    away = components_by_colour(e).filter("node <> root")
+    return away.unionByName(away.select(F.col("root").alias("node"), "root").distinct())
+
+
+def components_by_joins(edges: DataFrame) -> DataFrame:
+    """(node, root) by joins alone: nodes with one way out or in by doubled steps, what is left by peeling and colouring."""
+    e = _distinct(edges)
+    every = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return every.join(stable(_in_components(e)), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
 def _distinct(edges: DataFrame) -> DataFrame:
     return stable(edges.select("src", "dst").filter("src <> dst").distinct())
 
@@ -172,7 +260,7 @@ def strong_components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> Dat
     e = _distinct(edges)
     pairs = _pairs(e, driver_edges)
     if pairs is None:
-        return components_by_colour(e)
+        return components_by_joins(e)
     kind = edges.schema["src"].dataType.simpleString()
     return edges.sparkSession.createDataFrame(sorted(_tarjan(pairs).items()), f"node {kind}, root {kind}")
 
@@ -240,7 +328,7 @@ def places(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     level, left = _peel(e, e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     if left.isEmpty():
         return level.select("node", F.col("node").alias("root"), "dag_level", F.lit("N").alias("in_cycle"))
-    return levels(e, components_by_colour(e))
+    return levels(e, components_by_joins(e))
 
 
 def nodes(edges: DataFrame, objects: DataFrame, dictionary: DataFrame | None = None, captured: DataFrame | None = None, owner: str | None = None, driver_edges: int = DRIVER_EDGES) -> DataFrame:
