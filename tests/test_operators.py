@@ -255,11 +255,12 @@ def counted(monkeypatch):
     return written
 
 
-def test_rounds_of_components_grow_slowly(spark, monkeypatch):
+@pytest.mark.parametrize("driver_edges", [0, 100])
+def test_rounds_of_components_grow_slowly(spark, monkeypatch, driver_edges):
     # a path of 200 nodes into a ring of 50: peeling took a round for each node of the path
     e = edges_of(spark, [(f"t{i:03}", f"t{i + 1:03}") for i in range(200)] + [("t200", "r00")] + [(f"r{i:02}", f"r{(i + 1) % 50:02}") for i in range(50)])
     written = counted(monkeypatch)
-    got = {tuple(r) for r in graph.strong_components(graph.graph_edges(e), 0).collect()}
+    got = {tuple(r) for r in graph.strong_components(graph.graph_edges(e), driver_edges).collect()}
     assert got == {(f"t{i:03}", f"t{i:03}") for i in range(201)} | {(f"r{i:02}", "r00") for i in range(50)}
     assert len(written) < 60
 
