@@ -11,6 +11,7 @@ from veinmap.functions import reading
 from veinmap.functions import rules as R
 from veinmap.functions.reading import register_functions
 from veinmap.operators import graph, jobs, reports, trace, views
+from veinmap.plans.registry import queries
 from veinmap.plans.run import build
 from veinmap.plans.saved import latest_run, open_run, run_and_save
 from veinmap.sources import sinks, tables
@@ -265,6 +266,18 @@ def test_rounds_of_components_grow_slowly(spark, monkeypatch, driver_edges):
     assert len(written) < 60
 
 
+@pytest.mark.parametrize("here", [False, True])
+def test_cycle_nodes_need_no_levels(spark, tmp_path, monkeypatch, here):
+    # each part leads 7 on, but 1 leads 40 such steps back: a ring of 41 and a path of 259 into it, which has as many levels
+    spark.range(300).selectExpr("id AS p_partkey", "IF(id = 1, 13, 0) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    written = counted(monkeypatch)
+    if not here:
+        monkeypatch.setattr(graph, "_pairs", lambda e, at_most: None)
+    got = [r.node_name for r in queries()["rp2_cycle_nodes"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(f"P{(1 - 7 * t) % 300}" for t in range(41))
+    assert len(written) < 60
+
+
 @pytest.mark.parametrize("turned", [False, True])
 def test_components_of_paths_between_forks(spark, turned):
     rng = random.Random(20)

@@ -265,6 +265,18 @@ def strong_components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> Dat
     return edges.sparkSession.createDataFrame(sorted(_tarjan(pairs).items()), f"node {kind}, root {kind}")
 
 
+def cycles(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+    """(node, root): the nodes in cycles with the least node of their component; no levels, which take a round for each."""
+    e = _distinct(edges)
+    pairs = _pairs(e, driver_edges)
+    if pairs is None:
+        return _in_components(e)
+    root = _tarjan(pairs)
+    size = Counter(root.values())
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame(sorted((n, r) for n, r in root.items() if size[r] > 1), f"node {kind}, root {kind}")
+
+
 def _peel(e: DataFrame, every: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Levels (node, dag_level) of what isn't in or behind a cycle of the edges (src, dst), and the edges that are left.
 

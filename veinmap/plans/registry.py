@@ -460,7 +460,7 @@ def rp2_intermediates(spark, sf_dir):
 def rp2_cycle_nodes(spark, sf_dir):
     e = D.frame(spark, sf_dir, D.CYCLIC)
     g = graph.graph_edges(e)
-    return graph.places(g).filter("in_cycle = 'Y'").select(F.col("node").alias("node_name"))
+    return graph.cycles(g).select(F.col("node").alias("node_name"))
 
 
 _VIEWED = _DEPS.replace("SELECT job_num, depends_on_job, via_object, read_object, CAST(hops", "SELECT job_num, 'T_' || job_num AS consumer_target, depends_on_job, 'T_' || depends_on_job AS producer_target, via_object, read_object, CAST(hops")
